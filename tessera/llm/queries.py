@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import rules
+from tessera.llm import mixing, rules, urls
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,48 @@ _OP10_RULES = " + ".join(f"CASE WHEN {condition} THEN {1 << k} ELSE 0 END" for k
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(rules.ledger(table(spark, sf_dir, "documents")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits", "base_failed", "kept")
+
+
+@_query(
+    "op4_mix_sources",
+    rf"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SQL_WORD}')) AS size,
+                      md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+    s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+    w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][(rank - 1) % 3 + 1] AS weight, CAST(2 * source_size AS DOUBLE) AS cap,
+                 3.0::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
+    h AS (SELECT *, 2 * cap * sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+                 <= weight * (total - 2 * coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS held FROM w),
+    t AS (SELECT source, source_size, CASE WHEN held THEN cap ELSE weight * (total - 2 * sum(CASE WHEN held THEN cap ELSE 0 END) OVER ())
+                 / (2 * sum(CASE WHEN held THEN 0 ELSE weight END) OVER ()) END AS target FROM h),
+    q AS (SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target, CAST(floor(target) AS BIGINT) AS budget,
+                 CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+           CAST(greatest(0, least(size, budget - upto + size)) + greatest(0, least(size, budget - upto - source_size + size)) AS BIGINT) AS taken FROM q
+    """,
+)
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+#: Production block list: mirror hosts, which only repeat another host's pages.
+_MIRROR = r"^(m|mobile|wap|amp)[.]"
+_OP8_RULES = " ".join(
+    f"WHEN (host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '{path}') THEN '{host}{path}|{verdict}'"
+    for verdict, host, path in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+)
+
+
+@_query(
+    "op8_url_filter",
+    rf"""
+    WITH p AS (SELECT page_id, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    h AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p),
+    r AS (SELECT *, CASE {_OP8_RULES} END AS hit FROM h)
+    SELECT page_id, host, path, split_part(hit, '|', 1) AS rule,
+           CASE WHEN hit IS NOT NULL THEN split_part(hit, '|', 2) WHEN regexp_matches(host, '{_MIRROR}') THEN 'block' ELSE 'allow' END AS verdict FROM r
+    """,
+)
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), F.col("key").rlike(_MIRROR))
