@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, near_dup, rules, urls
+from tessera.llm import mixing, near_dup, quality, rules, urls
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.grouped(table(spark, sf_dir, "documents"))
+
+
+@_query("op6_quality_knn")
+def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
