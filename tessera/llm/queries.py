@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, near_dup, quality, rules, urls
+from tessera.llm import mixing, near_dup, quality, rules, sentence_piece, urls
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +134,16 @@ def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_quality_knn")
 def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Where the public SentencePiece model of this machine lies; on a cluster, a path that every executor has.
+TOKENIZER_DIR = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
+
+
+def sentencepiece_model() -> str:
+    return os.path.join(TOKENIZER_DIR, "piece_bpe_32k.model")
+
+
+@_query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_piece.encode(table(spark, sf_dir, "documents"), sentencepiece_model(), carry=["doc_id"])
