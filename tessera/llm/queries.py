@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, near_dup, quality, rules, sentence_piece, urls
+from tessera.llm import line_dedup, mixing, near_dup, quality, rules, sentence_piece, urls
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,27 @@ def sentencepiece_model() -> str:
 @_query("op2_sentencepiece")
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_piece.encode(table(spark, sf_dir, "documents"), sentencepiece_model(), carry=["doc_id"])
+
+
+@_query(
+    "op5_line_dedup",
+    rf"""
+    WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    l AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(list_transform(ls, lambda x: regexp_extract_all(x, '{_SQL_WORD}'))) AS w FROM d),
+    o AS (SELECT doc_id, line_no, len(w) AS n, array_to_string(w, ' ') AS s, w FROM l WHERE len(w) >= {line_dedup.MIN_WORDS}),
+    c AS (SELECT s, any_value(n) AS n, any_value(w) AS w, min((doc_id, line_no)) AS place FROM o GROUP BY s),
+    v AS (SELECT s, n, place, i, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS v
+          FROM c, unnest(range(1, len(w) + 1)) AS u(i) WHERE n >= {line_dedup.NEAR_WORDS}),
+    g AS (SELECT s, place, min(place) OVER (PARTITION BY v, i, n) AS head FROM v),
+    near AS (SELECT s FROM g WHERE head < place
+             UNION SELECT CASE WHEN v.place > c.place THEN v.s ELSE c.s END FROM v JOIN c ON v.v = c.s AND c.n >= {line_dedup.NEAR_WORDS}),
+    gone AS (SELECT o.doc_id, list(o.line_no) AS removed FROM o JOIN c USING (s) LEFT JOIN near ON near.s = o.s
+             WHERE near.s IS NOT NULL OR c.place <> (o.doc_id, o.line_no) GROUP BY o.doc_id)
+    SELECT d.doc_id, CASE WHEN gone.removed IS NULL THEN text ELSE
+             array_to_string(list_transform(list_filter(range(len(ls)), lambda i: NOT list_contains(gone.removed, i)), lambda i: ls[i + 1]), chr(10)) END AS text,
+           CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(len(gone.removed), 0) AS BIGINT) AS n_removed
+    FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
+    """,
+)
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
