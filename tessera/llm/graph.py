@@ -37,18 +37,19 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own)
 
 
-def chunked(rows: DataFrame, group: str, size: str, member: str, chunk: int) -> DataFrame:
+def chunked(rows: DataFrame, group: str, size: str, member: str, chunk: int, own: str | None = None) -> DataFrame:
     """Rows of groups, with the pair of chunks (ci <= cj) each takes part in.
 
     A group of more than chunk rows is dealt by hash into chunks; every pair of
     chunks becomes a group of its own, so no task ever holds a whole large
-    group while every pair of its rows still meets.
+    group while every pair of its rows still meets. own names a column for the
+    chunk that a row itself belongs to.
     """
     n = F.ceil(F.col(size) / chunk).cast("int")
-    own = F.when(n > 1, F.pmod(F.xxhash64(F.col(member), F.lit(7)), n).cast("int")).otherwise(F.lit(0))
+    mine = F.when(n > 1, F.pmod(F.xxhash64(F.col(member), F.lit(7)), n).cast("int")).otherwise(F.lit(0))
     pairs = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda j: F.struct(F.least(F.col("_own"), j).alias("ci"), F.greatest(F.col("_own"), j).alias("cj")))
-    dealt = rows.withColumns({"_n": n, "_own": own}).withColumn("_pair", F.explode(pairs))
-    return dealt.select(*rows.columns, F.col("_pair.ci").alias("ci"), F.col("_pair.cj").alias("cj"))
+    dealt = rows.withColumns({"_n": n, "_own": mine}).withColumn("_pair", F.explode(pairs))
+    return dealt.select(*rows.columns, F.col("_pair.ci").alias("ci"), F.col("_pair.cj").alias("cj"), *([F.col("_own").alias(own)] if own else []))
 
 
 def by_group(rows: DataFrame, keys: list[str], kernel: Callable[[pa.RecordBatch], Iterator[tuple]], schema: str) -> DataFrame:

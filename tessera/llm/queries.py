@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, mixing, near_dup, quality, rules, sentence_piece, urls
+from tessera.llm import line_dedup, mixing, near_dup, quality, rules, sentence_piece, urls, vector_dup
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,20 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query(
+    "op3_vector_near_dup",
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    u AS (SELECT vec_id, x FROM v WHERE len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+    l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+    r AS (SELECT DISTINCT x AS vec_id, x AS root FROM l UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.vec_id),
+    m AS (SELECT vec_id, min(root) AS root FROM r GROUP BY vec_id),
+    n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x)
+    SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(m.root, v.vec_id) AS component_id, coalesce(m.root, v.vec_id) = v.vec_id AS kept
+    FROM v LEFT JOIN n ON n.vec_id = v.vec_id LEFT JOIN m ON m.vec_id = v.vec_id
+    """,
+)
+def op3_vector_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dup.linked(table(spark, sf_dir, "embeddings"))
