@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, mixing, near_dup, quality, rules, sentence_piece, urls, vector_dup
+from tessera.llm import line_dedup, mixing, near_dup, pii, quality, rules, sentence_piece, urls, vector_dup
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op3_vector_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dup.linked(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op1_pii_sanitise")
+def op1_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
