@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, mixing, near_dup, pii, quality, rules, sentence_piece, urls, vector_dup
+from tessera.llm import chat, line_dedup, mixing, near_dup, pii, quality, rules, sentence_piece, urls, vector_dup
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,25 @@ def op3_vector_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_pii_sanitise")
 def op1_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+#: Production schemas of the tools that conversations may call.
+TOOL_SCHEMAS: chat.Schemas = {
+    "search": {"properties": {"query": {"type": "string"}, "top_k": {"type": "integer"}}, "required": ["query"], "additionalProperties": False},
+    "calculate": {"properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
+    "fetch": {"properties": {"url": {"type": "string"}, "timeout": {"type": "number"}}, "required": ["url"]},
+}
+
+
+@_query(
+    "op7_chat_format",
+    """
+    WITH m AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+    j AS (SELECT *, CAST(turn // 512 AS BIGINT) AS part, '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS line FROM m)
+    SELECT conv_id, part, count(*) AS n_messages, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_invalid,
+           '{"conv_id":' || conv_id || ',"messages":[' || string_agg(line, ',' ORDER BY turn, role, line) || ']}' AS json
+    FROM j GROUP BY conv_id, part
+    """,
+)
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"), TOOL_SCHEMAS)
