@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import U64, blocks
@@ -48,8 +48,12 @@ CHUNK = 512
 _CHANCE = 0.5**LOW_BITS
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, h (the set's hash, 0: empty), sig (packed bits, then the size), bands."""
+    """doc_id, t (the text's hash), n_shingles, h (the set's hash, 0: empty), sig (packed bits, then the size), bands."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,11 +64,11 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 own = np.column_stack([sig.view(np.int64), sizes.astype(np.int64)])
                 keys = bands.view(np.int64)
                 lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel()) for x in (own, keys)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(sizes.astype(np.int64)), pa.array(h.view(np.int64)), *lists], ["doc_id", "n_shingles", "h", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(sizes.astype(np.int64)), pa.array(h.view(np.int64)), *lists], ["doc_id", "t", "n_shingles", "h", "sig", "bands"])
                 at += n
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, f"doc_id {id_type}, n_shingles bigint, h bigint, sig array<bigint>, bands array<bigint>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("t"))
+    return rows.mapInArrow(scan, f"doc_id {id_type}, t bigint, n_shingles bigint, h bigint, sig array<bigint>, bands array<bigint>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -175,13 +179,23 @@ def linked_classes(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", te
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document."""
+    """doc_id, t (the text's hash), n_shingles, component_id, kept: one row per document."""
     marks = cut(signed(docs, id_col, text_col))
     linked = cut(linked_classes(docs, marks, id_col, text_col))
     owners = marks.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     owners = owners.join(linked, "h", "left").where("n > 1 OR component IS NOT NULL").select("h", "first_id", F.coalesce("component", "h").alias("component"))
     heads = owners.groupBy("component").agg(F.min("first_id").alias("head"))
     heads, _ = small_side(owners.join(heads, "component").select(F.col("h").alias("_h"), "head"), 24)
-    joined = marks.select("doc_id", "n_shingles", "h").join(heads, (F.col("h") == F.col("_h")) & (F.col("n_shingles") > 0), "left")
+    joined = marks.select("doc_id", "t", "n_shingles", "h").join(heads, (F.col("h") == F.col("_h")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("_h").isNotNull(), F.col("head")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return joined.select("doc_id", "t", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents' rows without those of near-duplicates of a smaller id; all columns kept.
+
+    Only the ids that go travel; the texts move only if those are too many to broadcast.
+    """
+    gone = grouped(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("t").alias("_gone_t")).distinct()
+    gone, _ = small_side(gone, 24)
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (_text_hash(text_col) == F.col("_gone_t")), "left_anti")

@@ -128,7 +128,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.grouped(table(spark, sf_dir, "documents"))
+    return near_dup.grouped(table(spark, sf_dir, "documents")).drop("t")
 
 
 @_query("op6_quality_knn")
