@@ -117,27 +117,33 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def disclosures(base: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """((term, disclosure), (doc_id, t, term)): how much a term gives away at most, and the documents with it. None: no term has support."""
-    seen = base.where(F.size("contexts") > 0).select("doc_id", "t", F.explode("contexts").alias("c")).select("doc_id", "t", "c.entity", F.xxhash64("c.words").alias("context"), F.array_distinct("c.words").alias("words"))
-    near = seen.select("doc_id", "t", "entity", "context", F.explode("words").alias("term"))
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM_PATTERN), F.lit(0)))
+
+
+def disclosures(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """(term, disclosure): how much a term with enough support gives away at most.
+
+    All counts are of documents and are summed before they are shuffled, so
+    only distinct terms and (entity, term) pairs travel, not occurrences.
+    """
+    with_any = base.where(F.size("contexts") > 0)
+    near = with_any.select("doc_id", "t", F.explode("contexts").alias("c")).select("doc_id", "t", "c.entity", F.xxhash64("c.words").alias("context"), F.explode(F.array_distinct("c.words")).alias("term"))
     # one context a document, and one document a context
     each = near.groupBy("entity", "term", "doc_id", "t").agg(F.min("context").alias("context")).select("entity", "term", "context").distinct()
     supported = each.groupBy("entity", "term").count().where(F.col("count") >= SUPPORT).select("entity", "term")
     supported = cut(supported)
-    terms, n = small_side(supported.select(F.col("term").alias("_term")).distinct(), 48)
-    if n == 0:
-        return None
-    words = rows.select("doc_id", "t", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM_PATTERN), F.lit(0)))).alias("term"))
-    hits = cut(words.join(terms, F.col("term") == F.col("_term"), "left_semi").distinct())
-    n_t = hits.groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = seen.select("entity", "doc_id", "t").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    n_te = near.join(supported, ["entity", "term"]).select("entity", "term", "doc_id", "t").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    terms, _ = small_side(supported.select(F.col("term").alias("_term")).distinct(), 48)
+    words = rows.select(F.explode(_terms(F.col("text"))).alias("term"))
+    n_t = words.join(terms, F.col("term") == F.col("_term"), "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_e = with_any.select(F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = F.array_distinct(F.flatten(F.transform("contexts", lambda c: F.transform(c["words"], lambda w: F.struct(c["entity"].alias("entity"), w.alias("term"))))))
+    n_te = with_any.select(F.explode(pairs).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te")).join(supported, ["entity", "term"])
     n_docs = base.count()
     revealed = 1 + F.log(F.col("n_te") / F.col("n_t")) / F.log(F.lit(float(n_docs)) / F.col("n_e"))
     share = F.when(F.col("n_e") < n_docs, revealed).otherwise(0.0)
-    judged = n_te.join(n_t, "term").join(n_e, "entity").groupBy("term").agg(F.max(share).alias("disclosure"))
-    return judged, hits
+    return n_te.join(n_t, "term").join(n_e, "entity").groupBy("term").agg(F.max(share).alias("disclosure"))
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,11 +153,12 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     context = lambda s: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), F.regexp_extract_all(_context(F.col("text"), s), F.lit(_TERM_PATTERN), F.lit(0)).alias("words"))
     base = cut(spans.select("doc_id", "t", "base", F.transform("base", context).alias("contexts")))
     none = F.filter(F.array(_entry("")(F.lit(0), F.lit(0), F.lit(""))), lambda x: F.lit(False))
-    judged = disclosures(base, rows)
-    if judged is None:
+    judged = disclosures(base, rows).where(F.col("disclosure") >= GENERALISE)
+    flagged, n = small_side(judged.select(F.col("term").alias("_term"), "disclosure"), 56)
+    if n == 0:
         return base.select("doc_id", "t", "base", none.alias("terms"))
-    flagged, _ = small_side(judged[0].where(F.col("disclosure") >= GENERALISE).select(F.col("term").alias("_term"), "disclosure"), 56)
-    own = judged[1].join(flagged, F.col("term") == F.col("_term"))
+    words = rows.select("doc_id", "t", F.explode(_terms(F.col("text"))).alias("term"))
+    own = words.join(flagged, F.col("term") == F.col("_term"))
     own = own.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("term", "disclosure"))).alias("flags"))
     own, _ = small_side(own.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "flags"), 160)
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
