@@ -21,3 +21,8 @@ def query(name: str, sql: str | None = None):
         return f
 
     return register
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from tessera.plans import text_queries, vector_queries  # noqa: F401

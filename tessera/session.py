@@ -34,3 +34,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = os.path.join(os.environ.get("TESSERA_CHECKPOINT_DIR", "/tmp/tessera-checkpoints"))
     sc.setCheckpointDir(folder)
     return folder
+
+
+def cut_lineage(df):
+    """The same rows read from the shared checkpoint folder: computed once, and safe from lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
