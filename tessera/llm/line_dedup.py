@@ -8,8 +8,9 @@ line is removed if it equals, or matches, a line that first occurs earlier
 
 1. One pass hashes the lines; equal lines become a class with its first place
    (partial aggregation, so a very common line is no hot group).
-2. Two lines one word apart share half their words as a prefix or suffix; the
-   classes whose halves meet another class are the only ones that can match.
+2. Two lines one word apart share half their words as a prefix or suffix, and
+   all but one of four quarters. Only classes whose halves, and then whose
+   three quarters, meet another class can match; no pair is lost.
 3. Those emit all variants with one word left out, as hashed keys. Equal
    variants join: with the same word left out, every member of a group is one
    replacement from its earliest; a variant equal to a whole line is one word
@@ -73,13 +74,24 @@ class _Lines:
                 keys.append(mix(self.sequence(a, b) + (2 * longer + side).astype(U64) * U64(0x9E3779B97F4A7C15)))
         return np.column_stack(keys)
 
-    def left_out(self, i: int) -> np.ndarray:
-        """Hashes of line i without word j, for every j."""
-        a, b = self.first[i], self.last[i]
-        at = np.arange(a, b)
-        left = self.raw(np.full(len(at), a), at)
-        right = self.raw(at + 1, np.full(len(at), b)) * self._up[at - a]
-        return mix(left + right + U64(b - a - 1))
+    def quarters(self) -> np.ndarray:
+        """Eight keys a line: what is left without one quarter, as the longer and as the shorter of a pair."""
+        keys = []
+        for longer in (self.n, self.n + 1):
+            for q in range(4):
+                head, tail = q * longer // 4, longer - (q + 1) * longer // 4
+                ends = self.sequence(self.first, self.first + head) + mix(self.sequence(self.last - tail, self.last))
+                keys.append(mix(ends + (4 * longer + q).astype(U64) * U64(0x9E3779B97F4A7C15)))
+        return np.column_stack(keys)
+
+
+def left_out(words: np.ndarray) -> np.ndarray:
+    """Hashes of a sequence of word hashes without word j, for every j."""
+    n = len(words)
+    total = np.zeros(n + 1, U64)
+    np.cumsum(words * powers(_Q, n), out=total[1:])
+    left, right = total[:-1], (total[-1] - total[1:]) * U64(_Q_INV)
+    return mix(left + right + U64(n - 1))
 
 
 def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +113,7 @@ def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "line_no", "h", "k0", "k1", "k2", "k3"])
 
 
-def _scan_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in blocks(batch.column(0)):
             own = _Lines(b, NEAR_WORDS)
@@ -109,11 +121,24 @@ def _scan_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 continue
             bounds = np.concatenate([[0], np.cumsum(own.n)]).astype(np.int32)
             words = np.concatenate([own.words[a:z] for a, z in zip(own.first, own.last, strict=True)])
-            variants = np.concatenate([own.left_out(i) for i in range(len(own.n))])
-            at = np.concatenate([np.arange(n) for n in own.n]).astype(U64)
-            placed = mix(variants + (at + U64(1)) * U64(0x9E3779B97F4A7C15))
-            lists = [pa.ListArray.from_arrays(bounds, x.view(np.int64)) for x in (words, variants, placed)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.sequence(own.first, own.last).view(np.int64)), *lists], ["h", "words", "variants", "placed"])
+            keys = own.quarters()
+            lists = [pa.ListArray.from_arrays(bounds, words.view(np.int64)), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, 8, dtype=np.int32), keys.ravel().view(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(own.sequence(own.first, own.last).view(np.int64)), *lists], ["h", "words", "quarters"])
+
+
+def _scan_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = batch.column(1)
+        sizes = words.value_lengths().to_numpy(zero_copy_only=False)
+        flat = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        ends = np.cumsum(sizes)
+        variants = np.concatenate([left_out(flat[e - n : e]) for e, n in zip(ends, sizes, strict=True)])
+        at = np.concatenate([np.arange(n) for n in sizes]).astype(U64)
+        placed = mix(variants + (at + U64(1)) * U64(0x9E3779B97F4A7C15))
+        h = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(variants.view(np.int64)), pa.array(placed.view(np.int64))], ["h", "v", "placed"])
 
 
 def within(a: list[int], b: list[int], bound: int = 1) -> bool:
@@ -146,23 +171,29 @@ def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
     keyed = classes.where("k0 IS NOT NULL").select("h", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
     shared, _ = small_side(shared, 16)
-    wanted = cut(keyed.join(shared, F.col("key") == F.col("k"), "left_semi").select("h").distinct().join(classes.select("h", "first"), "h"))
+    wanted = keyed.join(shared, F.col("key") == F.col("k"), "left_semi").select("h").distinct().join(classes.select("h", "first"), "h")
+    wanted, _ = small_side(wanted.withColumnRenamed("h", "w"), 64)
 
     sources, _ = small_side(wanted.select(F.col("first.doc_id").alias("_id")).distinct(), 24)
     texts = docs.join(sources, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    lines = texts.mapInArrow(_scan_variants, "h bigint, words array<bigint>, variants array<bigint>, placed array<bigint>").dropDuplicates(["h"])
-    lines = cut(lines.join(wanted, "h"))
+    lines = texts.mapInArrow(_scan_words, "h bigint, words array<bigint>, quarters array<bigint>")
+    lines = cut(lines.join(wanted, F.col("h") == F.col("w")).drop("w").dropDuplicates(["h"]))
+    quarters = lines.select("h", F.explode("quarters").alias("key"))
+    shared = quarters.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
+    shared, _ = small_side(shared, 16)
+    close, _ = small_side(quarters.join(shared, F.col("key") == F.col("k"), "left_semi").select(F.col("h").alias("w")).distinct(), 16)
+    lines = cut(lines.join(close, F.col("h") == F.col("w"), "left_semi").select("h", "words", "first"))
+    variants = lines.select("h", "words").mapInArrow(_scan_variants, "h bigint, v bigint, placed bigint")
 
     # replaced: the same words are left with the same place left out; the group's earliest is everyone's partner
-    placed = lines.select("h", F.explode("placed").alias("v"))
-    groups = placed.groupBy("v").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(F.col("v").alias("g"))
+    groups = variants.groupBy("placed").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(F.col("placed").alias("g"))
     groups, _ = small_side(groups, 16)
-    members = cut(placed.join(groups, F.col("v") == F.col("g")).select("v", "h").join(lines.select("h", "first"), "h"))
+    members = cut(variants.join(groups, F.col("placed") == F.col("g")).select(F.col("placed").alias("v"), "h").join(lines.select("h", "first"), "h"))
     heads = members.groupBy("v").agg(F.min(F.struct("first", "h")).alias("head")).select(F.col("v").alias("g"), F.col("head.h").alias("other"))
     replaced = members.join(heads, F.col("v") == F.col("g")).where("h <> other").select("h", "other")
     # put in: a line with one word left out is another whole line
     whole, _ = small_side(lines.select(F.col("h").alias("other"), F.col("first").alias("other_first")), 80)
-    longer = lines.select("h", "first", F.explode("variants").alias("v")).join(whole, F.col("v") == F.col("other"))
+    longer = variants.join(whole, F.col("v") == F.col("other")).join(lines.select("h", "first"), "h")
     later = F.col("first") > F.col("other_first")
     longer = longer.select(F.when(later, F.col("h")).otherwise(F.col("other")).alias("h"), F.when(later, F.col("other")).otherwise(F.col("h")).alias("other"))
     pairs = replaced.unionByName(longer).distinct()
