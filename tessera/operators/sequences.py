@@ -67,27 +67,41 @@ def intervals(tokens: Column) -> Column:
     return F.when(n >= 2, F.zip_with(F.slice(tokens, F.lit(2), n - 1), F.slice(tokens, F.lit(1), n - 1), lambda x, y: x - y)).otherwise(F.slice(tokens, 1, 0))
 
 
-def interval_histogram(tokens: Column, most: int = 12, pause: int = PAUSE) -> Column:
-    """2 * most + 1 shares of the clipped intervals between pitches; all 0 without an interval."""
-    steps = F.transform(intervals(without_pauses(tokens, pause)), lambda d: F.greatest(F.least(d, F.lit(most)), F.lit(-most)))
-    share = lambda b: F.coalesce(F.try_divide(F.size(F.filter(steps, lambda d: d == b)).cast("double"), F.size(steps)), F.lit(0.0))
-    return F.transform(F.sequence(F.lit(-most), F.lit(most)), share)
-
-
-def pitch_class_matrix(tokens: Column, pause: int = PAUSE) -> Column:
-    """144 row-major counts of consecutive pitch classes."""
-    classes = pitch_classes(tokens, pause)
-    n = F.size(classes)
-    pairs = F.when(n >= 2, F.zip_with(F.slice(classes, F.lit(1), n - 1), F.slice(classes, F.lit(2), n - 1), lambda a, b: a * 12 + b)).otherwise(F.slice(classes, 1, 0))
-    return F.transform(F.sequence(F.lit(0), F.lit(143)), lambda c: F.size(F.filter(pairs, lambda p: p == c)).cast("double"))
-
-
-def pitch_features(tokens: Column, pause: int = PAUSE) -> Column:
-    """169 features: log of the row-normalised pitch class matrix plus one, then the interval histogram."""
-    counts = pitch_class_matrix(tokens, pause)
-    row = lambda i: F.aggregate(F.slice(counts, F.floor(i / 12).cast("int") * 12 + 1, F.lit(12)), F.lit(0.0), lambda s, x: s + x)
-    normal = F.transform(counts, lambda x, i: F.coalesce(F.log1p(F.try_divide(x, row(i))), F.lit(0.0)))
-    return F.concat(normal, interval_histogram(tokens, 12, pause))
+def _steps(long: DataFrame, key: str, pos: str, token: str, pause: int) -> DataFrame:
+    """(key, x, y): consecutive pitches, pauses left out first."""
+    own = Window.partitionBy(key).orderBy(pos)
+    return long.where(F.col(token) != pause).select(key, F.col(token).alias("x"), F.lead(token).over(own).alias("y")).where("y IS NOT NULL")
+
+
+def pitch_class_matrix(long: DataFrame, key: str, pos: str = "pos", token: str = "token", pause: int = PAUSE) -> DataFrame:
+    """(key, a, b, n): counts of consecutive pitch classes, the sparse form of a 12 x 12 matrix."""
+    return _steps(long, key, pos, token, pause).groupBy(key, F.pmod("x", F.lit(12)).alias("a"), F.pmod("y", F.lit(12)).alias("b")).agg(F.count("*").alias("n"))
+
+
+def interval_histogram(long: DataFrame, key: str, most: int = 12, pos: str = "pos", token: str = "token", pause: int = PAUSE) -> DataFrame:
+    """(key, interval, share): shares of the intervals between pitches, clipped to +-most; a key without an interval has none."""
+    clipped = F.greatest(F.least(F.col("y") - F.col("x"), F.lit(most)), F.lit(-most))
+    shares = _steps(long, key, pos, token, pause).groupBy(key, clipped.alias("interval")).agg(F.count("*").alias("n"))
+    return shares.select(key, "interval", (F.col("n") / F.sum("n").over(Window.partitionBy(key))).alias("share"))
+
+
+def pitch_features(long: DataFrame, key: str, pos: str = "pos", token: str = "token", pause: int = PAUSE) -> DataFrame:
+    """(key, feature, value): the non-zero ones of 169 features of (key, pos, token) rows.
+
+    0 to 143: log(1 + share) of the row-normalised pitch class matrix;
+    144 to 168: shares of the intervals, clipped to an octave. Two aggregations
+    over one window; vectors(..., size=169) makes lists of them.
+    """
+    matrix = log_row_normalised(pitch_class_matrix(long, key, pos, token, pause), key)
+    classes = matrix.select(key, (F.col("a") * 12 + F.col("b")).cast("int").alias("feature"), F.col("p").alias("value"))
+    shares = interval_histogram(long, key, 12, pos, token, pause)
+    return classes.unionByName(shares.select(key, (F.col("interval") + 156).cast("int").alias("feature"), F.col("share").alias("value")))
+
+
+def feature_vectors(features: DataFrame, key: str, size: int = 169) -> DataFrame:
+    """(key, v): lists of size features, absent ones 0."""
+    cells = features.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m"))
+    return cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
 
 
 def shingles(tokens: Column, q: int) -> Column:
