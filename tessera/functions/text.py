@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 STRINGS = "array<string>"
 
@@ -28,9 +29,9 @@ def metadata_text(name: Column, *lists: Column) -> Column:
 
 
 def fix_json_list(text: Column) -> Column:
-    """A JSON list of strings out of doubly quoted CSV text; what is no JSON gives its quoted parts."""
+    """A JSON list of strings out of CSV text, its quotes doubled or not; what is no JSON gives its quoted parts."""
     single = F.regexp_replace(text, '""', '"')
-    parsed = F.from_json(single, STRINGS)
+    parsed = F.coalesce(F.from_json(text, STRINGS), F.from_json(single, STRINGS))
     quoted = F.regexp_extract_all(single, F.lit('"(.*?)"'), F.lit(1))
     return F.when(text.isNull() | (F.trim(text) == ""), F.array().cast(STRINGS)).otherwise(F.coalesce(parsed, quoted))
 
@@ -72,7 +73,7 @@ def parent_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two texts; null if either is."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
