@@ -14,6 +14,7 @@ from tessera.operators import sequences as Q
 from tessera.operators import summary as S
 from tessera.operators import validate as V
 from tessera.operators.cluster import core as C
+from tessera.plans import pipelines as L
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -454,6 +455,32 @@ def kmeans_sweep(spark: SparkSession, d: str) -> DataFrame:
     return V.sweep(e, "vec_id", "v", lambda k: C.run_clustering("kmeans", e, "vec_id", "v", k=k), (2, 4, 6, 8))
 
 
+@query("cluster_report")
+def cluster_report(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors with texts, end to end: reduced, clustered, explained by their most distinctive terms."""
+    rows = table(spark, d, "documents").join(_embeddings(spark, d).withColumnRenamed("vec_id", "doc_id").drop("label"), "doc_id")
+    return L.evaluate(rows, "doc_id", "v", "text", ["lang", "source"]).terms
+
+
+@query("cluster_report_counts")
+def cluster_report_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same path's value counts by cluster."""
+    rows = table(spark, d, "documents").join(_embeddings(spark, d).withColumnRenamed("vec_id", "doc_id").drop("label"), "doc_id")
+    return L.evaluate(rows, "doc_id", "v", "text", ["lang", "source"]).counts
+
+
+@query("tuning_scores")
+def tuning_scores(spark: SparkSession, d: str) -> DataFrame:
+    return L.tune(_embeddings(spark, d), "vec_id", "v", (2, 6, 10))
+
+
+@query("graph_scores")
+def graph_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Spectral clusterings of the users' transition matrices under the KL distance."""
+    cells = Q.globally_normalised(Q.transitions(_events(spark, d), "user_id"), "user_id")
+    return L.graph_sweep(Q.dense_matrix(cells, "user_id", len(TOKENS), "p").withColumnRenamed("matrix", "v"), "user_id", "v", (2, 4))
+
+
 _SIL = _PAIRS + """, n AS (SELECT label, count(*) AS n FROM v GROUP BY label),
     b AS (SELECT i, j, d FROM p UNION ALL SELECT j, i, d FROM p), t AS (SELECT v.vec_id AS id, v.label, o.label AS other, sum(d) AS total FROM b JOIN v ON v.vec_id = b.i JOIN v o ON o.vec_id = b.j GROUP BY ALL),
     s AS (SELECT v.vec_id AS id, v.label, max(CASE WHEN t.other = v.label THEN total / (n.n - 1) END) AS a, min(CASE WHEN t.other <> v.label THEN total / n.n END) AS b FROM v JOIN t ON t.id = v.vec_id JOIN n ON n.label = t.other GROUP BY ALL),

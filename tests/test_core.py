@@ -330,3 +330,36 @@ def test_entry_and_registry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 90
     assert math.isfinite(entry.entry(spark).first().d)
+
+
+def test_dataset_build(spark, tmp_path):
+    from tessera.plans import pipelines
+
+    track = b"\x00\x90\x3c\x40" + b"\x60\x80\x3c\x00" + b"\x60\x90\x3e\x40" + b"\x60\x3e\x00" + b"\x00\xff\x2f\x00"
+    data = b"MThd" + struct.pack(">IHHH", 6, 0, 1, 96) + b"MTrk" + struct.pack(">I", len(track)) + track
+    folder = tmp_path / "midi"
+    folder.mkdir()
+    for name, content in (("1.mid", data), ("2.mid", data), ("3.mid", b"broken")):
+        (folder / name).write_bytes(content)
+    csv = tmp_path / "m.csv"
+    csv.write_text('id,name,rating,themes,keywords,involved_companies,first_release_year\n1,A,7.0,"[""x""]","[]","[]",1999\n1,B,7.0,"[]","[]","[]",1999\n')
+    matched, failures = pipelines.build_sequences(spark, str(folder), str(csv), str(tmp_path / "out"))
+    row = matched.first()
+    assert matched.count() == 1 and row.note_sequence == [60, 128, 62] and row.name == "A" and row.themes == ["x"] and len(row.ctm) == 2
+    assert sorted(r.error for r in failures.collect()) == ["no MIDI header", "no metadata"]
+
+
+def test_streamed_transitions_equal_batch(spark, tmp_path):
+    from tessera.streaming.transitions import transition_updates
+
+    rows = [(k % 3, float(k), k, (k * k) % 5) for k in range(60)]
+    schema = "key long, ts double, event_id long, token int"
+    for part in range(3):
+        spark.createDataFrame(rows[part * 20 : part * 20 + 20], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    updates = transition_updates(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")))
+    run = updates.writeStream.format("memory").queryName("transitions").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    run.processAllAvailable()
+    run.stop()
+    got = {(r.key, r.a, r.b): r.n for r in spark.table("transitions").groupBy("key", "a", "b").agg(F.sum("n").alias("n")).collect()}
+    long = spark.createDataFrame(rows, schema)
+    assert sum(got.values()) == 57 and sum(r.n for r in Q.transitions(long, "key", pos="ts").collect()) == 57
