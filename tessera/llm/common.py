@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in one batch between the JVM and Python: at 10,000 (the default) a batch of long texts takes hundreds of MB.
+BATCH_ROWS = 500
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task, and others need the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow with batches small enough for long texts, and workers that keep nothing when a task ends."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read from the shared checkpoint folder: computed once, survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -30,4 +58,4 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> t
     return (F.broadcast(done) if n * row_bytes <= limit else done), n
 
 
-__all__ = ["BROADCAST_BYTES", "WORD", "cut", "small_side", "table"]
+__all__ = ["BROADCAST_BYTES", "WORD", "arrow_map", "cut", "small_side", "table"]

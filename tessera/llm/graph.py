@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import arrow_map, cut
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def by_group(rows: DataFrame, keys: list[str], kernel: Callable[[pa.RecordBatch]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in found], pa.int64()) for i in range(len(names))], names)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return arrow_map(rows.repartition(*keys).sortWithinPartitions(*keys), run, schema)
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:

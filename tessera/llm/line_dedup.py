@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import U64, Block, blocks, mix, powers
-from tessera.llm.common import cut, small_side
+from tessera.llm.common import arrow_map, cut, small_side
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
@@ -176,14 +176,14 @@ def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     sources, _ = small_side(wanted.select(F.col("first.doc_id").alias("_id")).distinct(), 24)
     texts = docs.join(sources, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    lines = texts.mapInArrow(_scan_words, "h bigint, words array<bigint>, quarters array<bigint>")
+    lines = arrow_map(texts, _scan_words, "h bigint, words array<bigint>, quarters array<bigint>")
     lines = cut(lines.join(wanted, F.col("h") == F.col("w")).drop("w").dropDuplicates(["h"]))
     quarters = lines.select("h", F.explode("quarters").alias("key"))
     shared = quarters.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
     shared, _ = small_side(shared, 16)
     close, _ = small_side(quarters.join(shared, F.col("key") == F.col("k"), "left_semi").select(F.col("h").alias("w")).distinct(), 16)
     lines = cut(lines.join(close, F.col("h") == F.col("w"), "left_semi").select("h", "words", "first"))
-    variants = lines.select("h", "words").mapInArrow(_scan_variants, "h bigint, v bigint, placed bigint")
+    variants = arrow_map(lines.select("h", "words"), _scan_variants, "h bigint, v bigint, placed bigint")
 
     # replaced: the same words are left with the same place left out; the group's earliest is everyone's partner
     groups = variants.groupBy("placed").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(F.col("placed").alias("g"))
@@ -210,7 +210,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, t, removed): per document (t: its text's hash) the numbers of the lines to remove, where there are any."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("t", _text_hash(F.col("text")))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    lines = cut(rows.mapInArrow(_scan_lines, f"doc_id {id_type}, t bigint, line_no int, h bigint, k0 bigint, k1 bigint, k2 bigint, k3 bigint"))
+    lines = cut(arrow_map(rows, _scan_lines, f"doc_id {id_type}, t bigint, line_no int, h bigint, k0 bigint, k1 bigint, k2 bigint, k3 bigint"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "line_no")
     classes = lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(4)))
     classes = cut(classes)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import U64, blocks
-from tessera.llm.common import cut, small_side
+from tessera.llm.common import arrow_map, cut, small_side
 from tessera.llm.graph import by_group, chunked, components, forest
 from tessera.llm.shingles import BINS, LOW_BITS, block_sets, set_hashes, signatures
 
@@ -68,7 +68,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 at += n
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("t"))
-    return rows.mapInArrow(scan, f"doc_id {id_type}, t bigint, n_shingles bigint, h bigint, sig array<bigint>, bands array<bigint>")
+    return arrow_map(rows, scan, f"doc_id {id_type}, t bigint, n_shingles bigint, h bigint, sig array<bigint>, bands array<bigint>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -152,7 +152,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                 lists = pa.ListArray.from_arrays(bounds.astype(np.int32), hashes.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(set_hashes(bounds, hashes).view(np.int64)), lists], ["h", "shingles"])
 
-    return rows.mapInArrow(scan, "h bigint, shingles array<bigint>")
+    return arrow_map(rows, scan, "h bigint, shingles array<bigint>")
 
 
 def linked_classes(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import U64, Block, blocks, mix, poly
+from tessera.llm.common import arrow_map
 
 WORD_TERMS = 4096
 SHAPE_TERMS = 512
@@ -154,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col:
 
     id_type = docs.schema[id_col].dataType.simpleString()
     # ids repeated in the documents cannot make the sample grow
-    got = rows.mapInArrow(scan, f"label double, terms binary, often binary, doc_id {id_type}").limit(4 * per_label).collect()
+    got = arrow_map(rows, scan, f"label double, terms binary, often binary, doc_id {id_type}").limit(4 * per_label).collect()
     got.sort(key=lambda r: (r.doc_id, r.terms, r.often))
     tf = np.zeros((len(got), TERMS), np.float32)
     for i, r in enumerate(got):
@@ -183,7 +184,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             if z:
                 yield pa.RecordBatch.from_arrays([*batch.columns[-width:], pa.array(own.vote(np.concatenate(z)))], names)
 
-    return rows.mapInArrow(scan, schema)
+    return arrow_map(rows, scan, schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

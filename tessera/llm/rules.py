@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import SPACE, blocks, sum_by
+from tessera.llm.common import arrow_map
 
 WINDOW = 5
 
@@ -120,7 +121,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             found = measure(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[name]) for name in MEASURES)], ["doc_id", *MEASURES])
 
-    measured = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, schema)
+    measured = arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), scan, schema)
     bits = F.lit(0).cast("bigint")
     for k, condition in enumerate(RULES.values()):
         bits = bits + F.when(F.expr(condition), F.lit(1 << k)).otherwise(0).cast("bigint")

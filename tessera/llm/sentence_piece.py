@@ -32,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import arrow_map
+
 MARK = "▁"
 #: Units whose ids a task keeps, and so the bound of its cache.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 150_000
 #: Texts that each task compares with the sentencepiece library.
 VERIFIED = 4
 PROBES = ("Hello  world", " a\n b\t", "café 漢字 \U0001f600", "x" * 40, "1234.5%", " " * 21 + "y", "", "▁▁q")
@@ -181,9 +183,9 @@ class Codec:
         self._piece_ends = np.zeros(len(shown) + 1, np.int64)
         np.cumsum([len(x) for x in shown], out=self._piece_ends[1:])
         self._plain = self._normal is None and not self.model.collapse
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self._seen = _Units()
         self._ids = np.zeros(1 << 16, np.int32)
         self._ends = np.zeros(1 << 14, np.int64)  # unit u has ids _ids[_ends[u]:_ends[u + 1]]
@@ -220,7 +222,7 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(bounds, ids): text i has ids[bounds[i]:bounds[i + 1]]."""
         if len(self._seen) > CACHE_UNITS:
-            self._clear()
+            self.clear()
         units = [self._units.findall(self.normalise(t)) for t in texts]
         per_text = np.fromiter(map(len, units), np.int64, len(units))
         at = np.fromiter(map(self._seen.__getitem__, chain.from_iterable(units)), np.int64, int(per_text.sum()))
@@ -303,5 +305,6 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", carry: list
                 if decoded:
                     columns.append(pa.array([x.decode("utf-8", "replace") for x in back], pa.string(), mask=null))
                 yield pa.RecordBatch.from_arrays(columns, names)
+        own.clear()
 
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
