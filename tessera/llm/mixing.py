@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, small_side
+from tessera.llm.common import WORD, cut, small_side
 
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, in halves (3: 150 %).
@@ -79,7 +79,7 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     ).withColumn("part", F.substring("order_key", 1, RANGE_DIGITS))
     # the ranges are the only thing counted on beforehand: sources x 4096 rows at most
     ranges = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    ranges, _ = small_side(ranges, 64, limit=1 << 62)
+    ranges = cut(ranges)
     sources = targets(ranges.groupBy("source").agg(F.sum("part_size").alias("source_size")))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.withColumn("offset", F.coalesce(F.sum("part_size").over(before), F.lit(0)).cast("bigint"))
