@@ -1,4 +1,4 @@
-"""Connected components of an edge table, and group-wise kernels over sorted Arrow streams."""
+"""Group-wise kernels over sorted Arrow streams, large groups dealt into pairs of chunks."""
 
 from __future__ import annotations
 
@@ -9,32 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, cut
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges (a, b): component is the smallest node reachable.
-
-    Alternating large-star and small-star steps; each step is a partial
-    aggregation and a join, so a node with very many neighbours is spread over
-    tasks, and its result goes to the shared checkpoint folder. The number of
-    rounds grows with the logarithm of the longest path.
-    """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        roots = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(roots, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = cut(small.select("e.u", "e.v").where("u <> v").distinct())
-        state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if seen == (state.n, state.x):
-            break
-        seen = (state.n, state.x)
-    own = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own)
+from tessera.llm.common import arrow_map
+from tessera.operators.components import components
 
 
 def chunked(rows: DataFrame, group: str, size: str, member: str, chunk: int, own: str | None = None) -> DataFrame:
