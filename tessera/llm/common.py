@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import ensure_checkpoint_dir, ship
 
 #: What a word is, everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +34,7 @@ def _give_back() -> None:
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """df.mapInArrow with batches small enough for long texts, and workers that keep nothing when a task ends."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches):
