@@ -363,3 +363,21 @@ def test_streamed_transitions_equal_batch(spark, tmp_path):
     got = {(r.key, r.a, r.b): r.n for r in spark.table("transitions").groupBy("key", "a", "b").agg(F.sum("n").alias("n")).collect()}
     long = spark.createDataFrame(rows, schema)
     assert sum(got.values()) == 57 and sum(r.n for r in Q.transitions(long, "key", pos="ts").collect()) == 57
+
+
+def test_published_jaccard_sums(spark):
+    """Term lists and their published overlap sums, where a folder with both is named."""
+    import os
+
+    folder = os.environ.get("TESSERA_GOLDEN_DIR")
+    if not folder:
+        pytest.skip("no golden folder named")
+    with open(f"{folder}/similarity_sums.json") as f:
+        want = json.load(f)
+    terms, _ = tables.term_lists(spark, folder)
+    found = {}
+    for name in [r.file for r in terms.select("file").distinct().collect()]:
+        sums = X.term_jaccard(terms.where(F.col("file") == name), "cluster", "term").agg(F.sum("jaccard")).first()[0]
+        found[name] = sums
+    assert {f"{name}.json" for name in found} == set(want)
+    assert all(abs(found[key.removesuffix(".json")] - value) < 1e-9 for key, value in want.items())
