@@ -96,7 +96,7 @@ def feature_dataset(spark: SparkSession, folder: str, csv: str) -> tuple[DataFra
 
 def term_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """((file, cluster, term), (path, error)) of a folder of {cluster: [terms]} JSON files; its own summary file is left out."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     files = files.where(~F.col("path").endswith("similarity_sums.json")).withColumn("m", F.from_json("value", "map<string,array<string>>"))
     terms = files.where("m IS NOT NULL").select(path_stem(F.col("path")).alias("file"), F.explode("m").alias("cluster", "terms")).select("file", "cluster", F.explode_outer("terms").alias("term"))
     return terms, files.where("m IS NULL").select("path", F.lit("no object of lists").alias("error"))

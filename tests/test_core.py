@@ -283,7 +283,7 @@ def test_midi_notes_and_failures(spark, tmp_path):
 
 
 def test_term_list_folder(spark, tmp_path):
-    (tmp_path / "m.json").write_text(json.dumps({"0": ["a", "b"], "1": ["b"]}))
+    (tmp_path / "m.json").write_text(json.dumps({"0": ["a", "b"], "1": ["b"]}, indent=4))
     (tmp_path / "similarity_sums.json").write_text("{}")
     (tmp_path / "bad.json").write_text("[")
     good, bad = tables.term_lists(spark, str(tmp_path))
