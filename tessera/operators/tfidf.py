@@ -37,14 +37,23 @@ def ngrams(words: Column, low: int, high: int) -> Column:
 
 
 def _ngrams(words: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+    """n-grams by zipping a list with itself shifted; a shorter list has none."""
+    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    grams = F.slice(words, F.lit(1), count)
+    for k in range(2, n + 1):
+        grams = F.zip_with(grams, F.slice(words, F.lit(k), count), lambda x, y: F.concat(x, F.lit(" "), y))
+    return grams
 
 
 def term_counts(docs: DataFrame, id_col: str, text: Column, ngram: tuple[int, int] = (1, 2), keep: Sequence[str] = (), stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """(id, keep, term, tf)."""
-    words = docs.select(id_col, *keep, tokens(text, stop_words).alias("_words"))
+    """(id, keep, term, tf).
+
+    The texts are dealt by id before they are taken apart: they are smaller
+    than their n-grams, and counting then needs no shuffle of its own. The
+    number is stated, since their size says little about the work they make.
+    """
+    dealt = docs.select(id_col, *keep, text.alias("_text")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+    words = dealt.select(id_col, *keep, tokens(F.col("_text"), stop_words).alias("_words"))
     return words.select(id_col, *keep, F.explode(ngrams(F.col("_words"), *ngram)).alias("term")).groupBy(id_col, *keep, "term").agg(F.count("*").alias("tf"))
 
 
