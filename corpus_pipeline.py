@@ -21,8 +21,8 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, or differ from it by a word, go; a document that loses all stays, empty."""
-    rows = line_dedup.dedup(docs)
+    """Lines of any length that repeat an earlier one, and from 5 words on those a word apart, go; a document that loses all stays, empty."""
+    rows = line_dedup.dedup(docs, **line_dedup.WHOLE)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)

@@ -1,10 +1,12 @@
 """Line deduplication over the whole corpus with an edit bound, by deletion neighbourhoods.
 
-Lines are compared as word sequences. A line of fewer than MIN_WORDS words is
-never removed; one of at least NEAR_WORDS words also matches a line that
-differs by one word (put in, left out or replaced), both being that long. A
-line is removed if it equals, or matches, a line that first occurs earlier
-(by id, then line number); whether that one is itself removed does not matter.
+Lines are compared as word sequences. A line of fewer than min_words words is
+never removed; one of at least near_words words also matches a line that
+differs by one word (put in, left out or replaced), both being that long. The
+defaults are those of the SQL of op5_line_dedup; WHOLE takes exact repeats of
+every line with a word in it, and edits from 5 words on. A line is removed if
+it equals, or matches, a line that first occurs earlier (by id, then line
+number); whether that one is itself removed does not matter.
 
 1. One pass hashes the lines; equal lines become a class with its first place
    (partial aggregation, so a very common line is no hot group).
@@ -17,8 +19,8 @@ line is removed if it equals, or matches, a line that first occurs earlier
    longer. Either way a group gives one pair per member, never all pairs.
    The pairs' edit distance is then verified on the words themselves.
 
-Defined results: a null text stays null; blank and short lines stay; null ids
-come last; rows of equal id and text count as one document (their lines
+Defined results: a null text stays null; blank lines and those under min_words
+stay; null ids come last; rows of equal id and text count as one document (their lines
 tie and share a fate); a text that loses all its lines becomes empty, its row
 stays; an empty table gives no rows; columns other than id and text are
 carried, whatever their names; very long texts and lines are scanned whole.
@@ -26,6 +28,7 @@ carried, whatever their names; very long texts and lines are scanned whole.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +41,8 @@ from tessera.llm.common import arrow_map, cut, small_side
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
+#: Bounds that leave no repeat; an edit of a line under 5 words is over a fifth of it, so those only match exactly.
+WHOLE = {"min_words": 1, "near_words": 5}
 _Q = 0xC2B2AE3D27D4EB4F
 _Q_INV = pow(_Q, -1, 1 << 64)
 
@@ -94,13 +99,13 @@ def left_out(words: np.ndarray) -> np.ndarray:
     return mix(left + right + U64(n - 1))
 
 
-def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan_lines(batches: Iterator[pa.RecordBatch], min_words: int, near_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in blocks(batch.column(1)):
-            own = _Lines(b, MIN_WORDS)
+            own = _Lines(b, min_words)
             if not len(own.n):
                 continue
-            far = own.n < NEAR_WORDS
+            far = own.n < near_words
             keys = [pa.array(k.view(np.int64), mask=far) for k in np.ascontiguousarray(own.halves().T)]
             at = pa.array(own.doc + b.first)
             columns = [
@@ -113,10 +118,10 @@ def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "line_no", "h", "k0", "k1", "k2", "k3"])
 
 
-def _scan_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan_words(batches: Iterator[pa.RecordBatch], near_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in blocks(batch.column(0)):
-            own = _Lines(b, NEAR_WORDS)
+            own = _Lines(b, near_words)
             if not len(own.n):
                 continue
             bounds = np.concatenate([[0], np.cumsum(own.n)]).astype(np.int32)
@@ -166,7 +171,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("h").filter(pa.array(ok, pa.bool_()))], ["h"])
 
 
-def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _near(docs: DataFrame, classes: DataFrame, near_words: int) -> DataFrame:
     """(h): the classes that match a class first occurring earlier."""
     keyed = classes.where("k0 IS NOT NULL").select("h", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
@@ -176,7 +181,7 @@ def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     sources, _ = small_side(wanted.select(F.col("first.doc_id").alias("_id")).distinct(), 24)
     texts = docs.join(sources, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    lines = arrow_map(texts, _scan_words, "h bigint, words array<bigint>, quarters array<bigint>")
+    lines = arrow_map(texts, functools.partial(_scan_words, near_words=near_words), "h bigint, words array<bigint>, quarters array<bigint>")
     lines = cut(lines.join(wanted, F.col("h") == F.col("w")).drop("w").dropDuplicates(["h"]))
     quarters = lines.select("h", F.explode("quarters").alias("key"))
     shared = quarters.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
@@ -206,24 +211,24 @@ def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(doc_id, t, removed): per document (t: its text's hash) the numbers of the lines to remove, where there are any."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("t", _text_hash(F.col("text")))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    lines = cut(arrow_map(rows, _scan_lines, f"doc_id {id_type}, t bigint, line_no int, h bigint, k0 bigint, k1 bigint, k2 bigint, k3 bigint"))
+    lines = cut(arrow_map(rows, functools.partial(_scan_lines, min_words=min_words, near_words=near_words), f"doc_id {id_type}, t bigint, line_no int, h bigint, k0 bigint, k1 bigint, k2 bigint, k3 bigint"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "line_no")
     classes = lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(4)))
     classes = cut(classes)
-    near = cut(_near(rows, classes)).withColumn("near", F.lit(True))
+    near = cut(_near(rows, classes, near_words)).withColumn("near", F.lit(True))
     decided = classes.select("h", "first", "n").join(near, "h", "left").where("n > 1 OR near")
     decided, _ = small_side(decided.select(F.col("h").alias("_h"), "first", F.coalesce("near", F.lit(False)).alias("near")), 56)
     gone = lines.join(decided, F.col("h") == F.col("_h")).where(F.col("near") | (F.col("first") != place))
     return gone.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """The documents' rows with the removed lines taken out of the text, and n_lines, n_removed besides."""
-    gone, _ = small_side(removals(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "removed"), 64)
+    gone, _ = small_side(removals(docs, id_col, text_col, min_words, near_words).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "removed"), 64)
     carried = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*carried).alias("_row"), F.col(id_col).alias("_own_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_own_t", _text_hash(F.col("_text")))
     joined = rows.join(gone, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_t") == F.col("_t")), "left")

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import chat, line_dedup, mixing, near_dup, pii, quality, rules, sentence_piece, shingles, urls, vector_dup
 from tessera.llm.queries import TOOL_SCHEMAS, sentencepiece_model
 
@@ -217,6 +218,34 @@ def test_line_dedup_brute_force(spark):
     assert near and all(r.text == (None if r.doc_id % 20 == 0 else want[r.doc_id]) for r in got)
 
 
+def test_line_dedup_whole_at_every_length(spark):
+    """The bounds stand here as numbers: a line of a word goes if repeated, one of 5 words if a word apart."""
+    rng = random.Random(10)
+    pool = ["Les.", "All rights reserved.", "one two three four"] + [sentence(rng, n) for n in (1, 2, 3, 4, 5, 5, 6, 7, 8, 9, 10, 14) for _ in range(2)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randint(1, 6)):
+            w = rng.choice(pool).split(" ")
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                k = rng.randrange(max(1, len(w)))
+                act = rng.randint(0, 2)
+                w = w[:k] + ([] if act == 0 else [f"n{rng.randint(0, 5)}"]) + w[k + (act != 2) :]
+            lines.append(" ".join(w))
+        rows.append((i, "\n".join(lines)))
+    lines = [(i, k, tuple(words(x))) for i, t in rows for k, x in enumerate(t.split("\n")) if words(x)]
+    first = {}
+    for i, k, w in lines:
+        first.setdefault(w, (i, k))
+    near = {a for a in first for b in first if first[b] < first[a] and min(len(a), len(b)) >= 5 and edit_distance(a, b) == 1}
+    gone = {(i, k) for i, k, w in lines if w in near or first[w] != (i, k)}
+    assert {len(w) for w in near} >= set(range(5, 11)) and {1, 2, 3, 4} <= {len(w) for i, k, w in lines if (i, k) in gone}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs, **line_dedup.WHOLE).collect()} == want
+    assert {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, None).collect()} == want
+
+
 def test_line_dedup_carries_clashing_columns(docs, corpus):
     out = line_dedup.dedup(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"] and out.count() == len(corpus)
