@@ -2,15 +2,15 @@
 
 Base spans are emails, IP addresses, card numbers and phone numbers. Each
 distinct value found is a protected entity. A term (three or more letters)
-near an entity's occurrences is judged by how much of the entity's information
-it reveals: its pointwise mutual information with the entity, over documents,
+anywhere in a document of an entity, the entity's own spans apart, is judged by
+how much of the entity's information it reveals: its pointwise mutual information with the entity, over documents,
 as a share of the entity's own information content,
 
     PMI(t, e) / IC(e) = 1 + log(n_te / n_t) / log(N / n_e).
 
 Terms above GENERALISE are replaced by a general word, those above REMOVE are
 taken out, wherever they occur in the corpus. A term needs SUPPORT documents
-with different contexts of the entity: copies of one passage are one context.
+of the entity with different sets of terms: copies of one text count once.
 
 Everything is DataFrame functions. A match's place is found from the pieces
 between matches (split by the same pattern); patterns are written with
@@ -42,8 +42,6 @@ PATTERNS = {
 }
 #: A text without this cannot match.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-#: Code points on each side of an entity that make its context.
-REACH = 120
 SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -102,14 +100,11 @@ def _listing(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _context(text: Column, span: Column) -> Column:
-    """What stands within REACH of a span, without the words cut at the far ends."""
-    first = F.greatest(F.lit(1), span["start"] + 1 - REACH)
-    left = F.substring(text, first, span["start"] + 1 - first)
-    left = F.when(first > 1, F.regexp_replace(left, r"^[^\x20\x09-\x0D]++", "")).otherwise(left)
-    right = F.substring(text, span["end"] + 1, F.lit(REACH))
-    right = F.when(span["end"] + REACH < F.length(text), F.regexp_replace(right, r"[^\x20\x09-\x0D]+$", "")).otherwise(right)
-    return F.lower(F.concat_ws(" ", left, right))
+def _without(text: Column, spans: Column) -> Column:
+    """The text without the spans, which are in order and do not overlap."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat_ws(" ", acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).alias("out"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat_ws(" ", acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -122,39 +117,42 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM_PATTERN), F.lit(0)))
 
 
-def disclosures(base: DataFrame, rows: DataFrame) -> DataFrame:
-    """(term, disclosure): how much a term with enough support gives away at most.
+def disclosures(base: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """(term, disclosure): how much a term with enough support gives away at most; None where no entity has the support.
 
-    All counts are of documents and are summed before they are shuffled, so
-    only distinct terms and (entity, term) pairs travel, not occurrences.
+    All counts are of whole documents and are summed before they are shuffled,
+    so only distinct terms and (entity, term) pairs travel, not occurrences.
     """
-    with_any = base.where(F.size("contexts") > 0)
-    near = with_any.select("doc_id", "t", F.explode("contexts").alias("c")).select("doc_id", "t", "c.entity", F.xxhash64("c.words").alias("context"), F.explode(F.array_distinct("c.words")).alias("term"))
-    # one context a document, and one document a context
-    each = near.groupBy("entity", "term", "doc_id", "t").agg(F.min("context").alias("context")).select("entity", "term", "context").distinct()
-    supported = each.groupBy("entity", "term").count().where(F.col("count") >= SUPPORT).select("entity", "term")
-    supported = cut(supported)
-    terms, _ = small_side(supported.select(F.col("term").alias("_term")).distinct(), 48)
-    words = rows.select(F.explode(_terms(F.col("text"))).alias("term"))
-    n_t = words.join(terms, F.col("term") == F.col("_term"), "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = with_any.select(F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = F.array_distinct(F.flatten(F.transform("contexts", lambda c: F.transform(c["words"], lambda w: F.struct(c["entity"].alias("entity"), w.alias("term"))))))
-    n_te = with_any.select(F.explode(pairs).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te")).join(supported, ["entity", "term"])
+    spans = base.where(F.size("base") > 0).select("doc_id", "t", F.explode("base").alias("s"))
+    spans = spans.select("doc_id", "t", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.struct("s.start", "s.end").alias("s"))
+    own = cut(spans.groupBy("doc_id", "t", "entity").agg(F.array_sort(F.collect_set("s")).alias("spans")))
+    # a term has no more support than its entity has different texts
+    often, n = small_side(own.select("entity", "t").distinct().groupBy("entity").count().where(F.col("count") >= SUPPORT).select(F.col("entity").alias("_entity")), 64)
+    if n == 0:
+        return None
+    held, _ = small_side(own.join(often, F.col("entity") == F.col("_entity"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "entity", "spans"), 160)
+    own = rows.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("entity", _terms(_without(F.col("text"), F.col("spans"))).alias("terms"))
+    own = cut(own.select("entity", F.xxhash64(F.array_sort("terms")).alias("context"), "terms"))
+    # repeated term sets are summed first; then a row is a context
+    contexts = own.groupBy("entity", "context").agg(F.first("terms").alias("terms"), F.count("*").alias("n"))
+    n_te = contexts.select("entity", "n", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("support"))
+    n_te = n_te.where(F.col("support") >= SUPPORT).drop("support")
+    n_e = own.groupBy("entity").agg(F.count("*").alias("n_e"))
+    n_t = rows.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     n_docs = base.count()
     revealed = 1 + F.log(F.col("n_te") / F.col("n_t")) / F.log(F.lit(float(n_docs)) / F.col("n_e"))
     share = F.when(F.col("n_e") < n_docs, revealed).otherwise(0.0)
-    return n_te.join(n_t, "term").join(n_e, "entity").groupBy("term").agg(F.max(share).alias("disclosure"))
+    return n_te.join(n_e, "entity").join(n_t, "term").groupBy("term").agg(F.max(share).alias("disclosure"))
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, t (the text's hash), base and terms: the spans of every document."""
     rows = _documents(docs, id_col, text_col)
     spans = rows.withColumn("base", base_spans(F.col("text")))
-    context = lambda s: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), F.regexp_extract_all(_context(F.col("text"), s), F.lit(_TERM_PATTERN), F.lit(0)).alias("words"))
-    base = cut(spans.select("doc_id", "t", "base", F.transform("base", context).alias("contexts")))
+    base = cut(spans.select("doc_id", "t", "base"))
     none = F.filter(F.array(_entry("")(F.lit(0), F.lit(0), F.lit(""))), lambda x: F.lit(False))
-    judged = disclosures(base, rows).where(F.col("disclosure") >= GENERALISE)
-    flagged, n = small_side(judged.select(F.col("term").alias("_term"), "disclosure"), 56)
+    judged = disclosures(base, rows)
+    flagged, n = (None, 0) if judged is None else small_side(judged.where(F.col("disclosure") >= GENERALISE).select(F.col("term").alias("_term"), "disclosure"), 56)
     if n == 0:
         return base.select("doc_id", "t", "base", none.alias("terms"))
     words = rows.select("doc_id", "t", F.explode(_terms(F.col("text"))).alias("term"))

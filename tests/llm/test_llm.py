@@ -450,6 +450,17 @@ def test_disclosing_terms(spark):
     assert "Quibblesworth" not in text[0] and "<EMAIL>" in text[0] and "q@clinic.org" not in text[0] and text[10] == dict(rows)[10]
 
 
+def test_disclosing_terms_far_from_the_value(spark):
+    """A name in the heading and the value in one footer: every term of the document counts, parts of the value do not."""
+    filler = lambda i: " ".join(f"{WORDS[(i + k) % 24]}{WORDS[(i * 7 + k) % 24]}" for k in range(60))
+    rows = [(i, f"Report by Quibblesworth {filler(i)} contact q@clinic.org") for i in range(5)]
+    rows += [(10 + i, f"report by somebody {filler(i)} contact us") for i in range(60)]
+    rows += [(99, "Quibblesworth, alone, at the clinic"), (100, "Copy of Merriweather at m@town.net"), (101, "Copy of Merriweather at m@town.net"), (102, "Copy of Merriweather at m@town.net")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[99] == "term:0:13" and all(got[i].endswith("term:10:23") for i in range(5))
+    assert not any(got[10 + i] for i in range(60)) and [got[i] for i in (100, 101, 102)] == ["email:24:34"] * 3
+
+
 # 7 -------------------------------------------------------------------------
 
 
