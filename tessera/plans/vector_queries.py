@@ -352,6 +352,12 @@ def mahalanobis_mask(spark: SparkSession, d: str) -> DataFrame:
     return E.mahalanobis(e, "vec_id", "v", 0.01).withColumns({"d2": F.round("d2", 6), "threshold": F.round("threshold", 6)})
 
 
+@query("mahalanobis_mask_whole")
+def mahalanobis_mask_whole(spark: SparkSession, d: str) -> DataFrame:
+    """On all dimensions."""
+    return E.mahalanobis(_embeddings(spark, d), "vec_id", "v", 0.01).withColumns({"d2": F.round("d2", 6), "threshold": F.round("threshold", 6)})
+
+
 @query("pca_variance")
 def pca_variance(spark: SparkSession, d: str) -> DataFrame:
     """Explained variance by component, and where 90 % is reached."""

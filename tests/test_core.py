@@ -174,6 +174,17 @@ def test_pca_and_mahalanobis(frame, points):
     assert E.fit_pca(frame, "v", 3, cap_mode="replace").components.shape[0] == 3
 
 
+def test_mahalanobis_query_on_all_dimensions(spark):
+    from tessera.plans import vector_queries
+
+    rows = vector_queries.mahalanobis_mask_whole(spark, "/root/testdata/sf0.001").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()], dtype=float)
+    off = x - x.mean(axis=0)
+    d2 = np.einsum("ij,jk,ik->i", off, np.linalg.inv(np.cov(x.T)), off)
+    assert x.shape[1] == 64 and np.allclose([r.d2 for r in rows], d2, rtol=1e-6) and {r.threshold for r in rows} == {93.21686}
+    assert [r.keep for r in rows] == list(d2 < 93.21686)
+
+
 def _dbscan(x, eps, least):
     d = np.linalg.norm(x[:, None] - x[None, :], axis=2) <= eps
     core, label, current = d.sum(axis=1) >= least, np.full(len(x), -1), 0
