@@ -52,9 +52,9 @@ def tune(df: DataFrame, key: str, vector: str, ks: Iterable[int] = (2, 3, 4, 5,
 def graph_sweep(df: DataFrame, key: str, vector: str, ks: Iterable[int], neighbours: int = 15, metric: str = "kl") -> DataFrame:
     """(k, silhouette, davies_bouldin, modularity, dispersion) of spectral clusterings of one neighbour graph."""
     edges = cut_lineage(G.local_scaled(nearest(df, key, vector, metric, neighbours)))
-    rows = []
-    for k in ks:
-        x = cut_lineage(C.Spectral(k, neighbours, metric).embedding(df, key, vector))
+    rows, ks = [], tuple(ks)
+    for k, x in zip(ks, C.Spectral(max(ks), neighbours, metric).embeddings(df, key, vector, ks), strict=True):
+        x = cut_lineage(x)
         labelled = cut_lineage(x.join(C.run_clustering("kmeans", x, key, "v", k=k), key))
         q = G.modularity(edges, labelled.select(F.col(key).alias("id"), "label")).first()[0]
         scores = V.scores(labelled, key, "v", "label").first()

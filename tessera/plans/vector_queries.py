@@ -458,7 +458,7 @@ def clustering_comparison(spark: SparkSession, d: str) -> DataFrame:
 def kmeans_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Scores by number of clusters, on one reduced feature frame."""
     e = E.preprocess(_embeddings(spark, d), "vec_id", "v", n_components=8).cache()
-    return V.sweep(e, "vec_id", "v", lambda k: C.run_clustering("kmeans", e, "vec_id", "v", k=k), (2, 4, 6, 8))
+    return V.sweep(e, "vec_id", "v", lambda k: C.run_clustering("kmeans", e, "vec_id", "v", k=k), (*range(2, 11), 12, 15, 20, 25))
 
 
 @query("cluster_report")
@@ -477,14 +477,14 @@ def cluster_report_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tuning_scores")
 def tuning_scores(spark: SparkSession, d: str) -> DataFrame:
-    return L.tune(_embeddings(spark, d), "vec_id", "v", (2, 6, 10))
+    return L.tune(_embeddings(spark, d), "vec_id", "v")
 
 
 @query("graph_scores")
 def graph_scores(spark: SparkSession, d: str) -> DataFrame:
     """Spectral clusterings of the users' transition matrices under the KL distance."""
     cells = Q.globally_normalised(Q.transitions(_events(spark, d), "user_id"), "user_id")
-    return L.graph_sweep(Q.dense_matrix(cells, "user_id", len(TOKENS), "p").withColumnRenamed("matrix", "v"), "user_id", "v", (2, 4))
+    return L.graph_sweep(Q.dense_matrix(cells, "user_id", len(TOKENS), "p").withColumnRenamed("matrix", "v"), "user_id", "v", range(2, 15))
 
 
 _SIL = _PAIRS + """, n AS (SELECT label, count(*) AS n FROM v GROUP BY label),

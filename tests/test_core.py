@@ -185,6 +185,26 @@ def test_mahalanobis_query_on_all_dimensions(spark):
     assert [r.keep for r in rows] == list(d2 < 93.21686)
 
 
+def test_sweeps_have_every_k(spark, monkeypatch):
+    from tessera.plans import pipelines, vector_queries
+
+    asked = []
+    monkeypatch.setattr(V, "sweep", lambda df, key, vector, make, ks: asked.append(list(ks)))
+    monkeypatch.setattr(pipelines, "graph_sweep", lambda df, key, vector, ks, *_: asked.append(list(ks)))
+    for f in (vector_queries.tuning_scores, vector_queries.kmeans_sweep, vector_queries.graph_scores):
+        f(spark, "/root/testdata/sf0.001")
+    assert asked == [[2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 25]] * 2 + [list(range(2, 15))]
+
+
+def test_one_decomposition_serves_every_k(frame, monkeypatch):
+    plain = lambda df: np.array([r.v for r in df.orderBy("id").collect()])
+    want = [plain(C.Spectral(k, 5).embedding(frame, "id", "v")) for k in (2, 3, 5)]
+    calls, eigh = [], np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda m: calls.append(1) or eigh(m))
+    got = [plain(x) for x in C.Spectral(5, 5).embeddings(frame, "id", "v", (2, 3, 5))]
+    assert len(calls) == 1 and all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+
+
 def _dbscan(x, eps, least):
     d = np.linalg.norm(x[:, None] - x[None, :], axis=2) <= eps
     core, label, current = d.sum(axis=1) >= least, np.full(len(x), -1), 0
