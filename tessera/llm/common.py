@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir, ship
@@ -52,11 +52,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, int]:
-    """A checkpointed side of a join and its row count, with a broadcast hint only if its checked size allows it."""
+def small_side(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, int]:
+    """A checkpointed side of a join and its row count, with a broadcast hint only if its checked size allows it.
+
+    row_bytes: bytes of a row as held in memory; a column where rows hold
+    arrays or texts of any length, whose sizes are then summed.
+    """
     done = cut(df)
-    n = done.count()
-    return (F.broadcast(done) if n * row_bytes <= limit else done), n
+    if isinstance(row_bytes, int):
+        n = done.count()
+        total = n * row_bytes
+    else:
+        n, total = done.agg(F.count("*"), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
+    return (F.broadcast(done) if total <= limit else done), n
 
 
 __all__ = ["BROADCAST_BYTES", "WORD", "arrow_map", "cut", "small_side", "table"]

@@ -1,9 +1,12 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy."""
 
+import hashlib
 import json
+import math
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -461,6 +464,90 @@ def test_disclosing_terms_far_from_the_value(spark):
     assert not any(got[10 + i] for i in range(60)) and [got[i] for i in (100, 101, 102)] == ["email:24:34"] * 3
 
 
+def brute_disclosures(rows):
+    """term -> (disclosure, kind) from the definition, over distinct (id, text)."""
+    docs = list(dict.fromkeys(rows))
+    terms = lambda t: {m.group(1).lower() for m in re.finditer(r"(?<![A-Za-z0-9._%+-])" + PATTERNS["email"].replace("(", "(?:") + r"|([^\W\d_](?:[^\W_]){2,})", t) if m.group(1)}
+
+    def entities(t):
+        out = set()
+        for kind in PATTERNS:
+            for m in re.finditer(PATTERNS[kind], t):
+                if valid(kind, m.group()):
+                    v = re.sub("[^0-9]", "", m.group()) if kind in ("card", "phone") else m.group().lower()
+                    shared = {"email": v.split("@")[-1], "ip": ".".join(v.split(".")[:3]), "card": v[:6], "phone": v[:-7]}[kind]
+                    out |= {f"value:{kind}:{v}", f"shared:{kind}:{shared}", f"kind:{kind}:", "any::"}
+        return out
+
+    n, n_t, n_e, n_te, e_texts, te_texts = len(docs), {}, {}, {}, {}, {}
+    for _, t in docs:
+        for term in terms(t):
+            n_t[term] = n_t.get(term, 0) + 1
+        for e in entities(t):
+            n_e[e] = n_e.get(e, 0) + 1
+            e_texts.setdefault(e, set()).add(t)
+            for term in terms(t):
+                n_te[e, term] = n_te.get((e, term), 0) + 1
+                te_texts.setdefault((e, term), set()).add(t)
+    judgements = sum(x >= pii.SUPPORT for x in n_t.values()) * sum(len(x) >= pii.SUPPORT for x in e_texts.values())
+    best = {}
+    for (e, term), k in n_te.items():
+        if len(te_texts[e, term]) >= pii.SUPPORT and n_e[e] < n:
+            p, q = k / n_t[term], n_e[e] / n
+            kl = p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0)
+            if p > q and n_t[term] * kl >= math.log(judgements):
+                best[term] = max(best.get(term, (-9, "")), (1 + math.log(p) / -math.log(q), e))
+    return {term: (x, e.split(":")[1]) for term, (x, e) in best.items()}
+
+
+def test_disclosures_brute_force_with_repeats(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(160):
+        w = [rng.choice(WORDS) for _ in range(12)]
+        if i % 4 == 0:
+            k = rng.randrange(4)
+            w += [f"holder{k}", rng.choice([f"q{k}@clinic{k % 2}.org", f"10.0.{k}.{i % 200}", "+1 (212) 555-%04d" % i, "4111111111111111"])]
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+    rows += [rows[0]] * 30 + [(None, rows[4][1])] * 5 + [(500 + k, rows[8][1]) for k in range(10)]
+    base = pii._documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "doc_id", "text")
+    base = base.withColumns({"base": pii.base_spans(F.col("text")), "terms": pii.terms(F.col("text"))})
+    got = {r.term: (r.disclosure, r.kind) for r in pii.disclosures(base, base.select("doc_id", "t", "text")).collect()}
+    want = brute_disclosures(rows)
+    assert got.keys() == want.keys() and {t for t in got if t.startswith("holder")} and len({k for _, k in got.values()}) > 1
+    assert all(abs(got[t][0] - want[t][0]) < 1e-9 and got[t][1] == want[t][1] for t in want)
+    once = {r.term: r.disclosure for r in pii.disclosures(*(df.dropDuplicates(["doc_id", "t"]) for df in (base, base.select("doc_id", "t", "text")))).collect()}
+    assert once.keys() == got.keys() and all(abs(once[t] - got[t][0]) < 1e-12 for t in once)
+    # every row of a repeated one gets the spans
+    assert len({r.spans for r in pii.report(base.select("doc_id", "text")).where("doc_id = 0").collect()}) == 1
+
+
+def test_base_digest(spark):
+    texts = ["x 1.2.3.4 a@b.c 4111111111111111 +1 (212) 555-0100 z@y.org", "", None, "none"]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    listing = "email:10:15,email:51:58,ip:2:9,card:16:32,phone:33:50"
+    assert got[0].spans == listing and got[0].n_spans == 5 and got[0].n_term == 0
+    assert [got[i].base_sha256 for i in range(4)] == [hashlib.sha256(x.encode()).hexdigest() for x in (listing, "", "", "")]
+
+
+def test_many_spans_in_one_text(spark):
+    """Linear in spans: 20,000 addresses, and edits that cut a text at as many places."""
+    text = " ".join(f"é{i} user{i}@host{i}.org" for i in range(20_000)) + " 😀 end"
+    df = spark.createDataFrame([(1, text), (2, "x@y.z 1.2.3.4@y.z")], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert time.time() - start < 60
+    assert got[1] == " ".join(f"é{i} <EMAIL>" for i in range(20_000)) + " 😀 end" and got[2] == "<EMAIL> <EMAIL>"
+
+
+def test_general_word_follows_the_kind(spark):
+    filler = lambda i: " ".join(f"{WORDS[(i + k) % 24]}{WORDS[(i * 7 + k) % 24]}" for k in range(40))
+    rows = [(i, f"Quibblesworth {filler(i)} q@clinic.org") for i in range(9)] + [(9, "Quibblesworth alone")] + [(20 + i, f"plain {filler(i)}") for i in range(90)]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[9] == "[mail contact] alone" and got[0].startswith("[mail contact] ") and got[0].endswith(" <EMAIL>") and got[20] == dict(rows)[20]
+
+
 # 7 -------------------------------------------------------------------------
 
 
