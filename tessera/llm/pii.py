@@ -10,10 +10,11 @@ counted over documents, as a share of the entity's own information content,
 
     PMI(t, e) / IC(e) = 1 + log(n_te / n_t) / log(N / n_e).
 
-A term counts for an entity if they meet in SUPPORT different texts (copies of
-one text count once) and chance would give fewer than one such meeting in the
-whole corpus (binomial tail bound: n_t KL(n_te / n_t || n_e / N) is at least the
-log of the number of judgements, terms times entities with SUPPORT).
+Of documents with personal data that are copies or near copies of each other
+only one counts, in every count. A term counts for an entity if they meet in
+SUPPORT documents and chance would give fewer than one such meeting in the whole
+corpus (binomial tail bound: n_t KL(n_te / n_t || n_e / N) is at least the log of
+the number of judgements, terms times entities with SUPPORT).
 Terms above GENERALISE are replaced by a word for the kind of what they reveal
 most, those above REMOVE are taken out, wherever they occur in the corpus.
 
@@ -50,6 +51,8 @@ PATTERNS = {
 #: A text without this cannot match.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 SUPPORT = 3
+#: Term sets share a context if they agree in one of so many bands of so many minima.
+BANDS, BAND_ROWS = 8, 12
 GENERALISE = 0.8
 REMOVE = 0.95
 #: The general word for a term, by the kind of what it reveals most.
@@ -154,6 +157,23 @@ def _once(rows: DataFrame, base: DataFrame) -> tuple[DataFrame, int]:
     return single, base.count() - again.agg(F.sum(F.col("n") - 1)).first()[0]
 
 
+def with_context(texts: DataFrame) -> DataFrame:
+    """texts (t, terms, ...) with context: the smallest t among texts that share a band with it, its own where none does.
+
+    A band is the hash of the BAND_ROWS least of the terms' hashes under one
+    of BANDS orders, so two texts share one with probability J ** BAND_ROWS
+    for term sets of Jaccard similarity J: almost surely for near copies,
+    seldom for texts of one template.
+    """
+    orders = F.array(*(F.expr(f"xxhash64({k})") for k in range(BANDS)))
+    hashed = texts.select("t", F.transform("terms", lambda x: F.xxhash64(x)).alias("h"))
+    band = lambda s, k: F.xxhash64(F.slice(F.sort_array(F.transform("h", lambda x: x.bitwiseXOR(s))), 1, BAND_ROWS), k)
+    keyed = cut(hashed.select("t", F.explode(F.transform(orders, band)).alias("band")))
+    firsts, _ = small_side(keyed.groupBy(F.col("band").alias("_band")).agg(F.min("t").alias("first"), F.max("t").alias("last")).where("first <> last").drop("last"), 32)
+    shared = keyed.join(firsts, F.col("band") == F.col("_band")).groupBy(F.col("t").alias("_t")).agg(F.min("first").alias("first"))
+    return texts.join(shared, F.col("t") == F.col("_t"), "left").withColumn("context", F.coalesce("first", "t")).drop("_t", "first")
+
+
 def disclosures(base: DataFrame, rows: DataFrame) -> DataFrame:
     """(term, disclosure, kind): how much a term with enough support and evidence gives away at most, and the kind of what it gives away.
 
@@ -161,17 +181,21 @@ def disclosures(base: DataFrame, rows: DataFrame) -> DataFrame:
     doc_id, t and text. Counts are summed before they are shuffled, so what
     travels is distinct terms and (entity, term) pairs, not occurrences.
     """
-    rows, n_docs = _once(rows, base)
+    rows, n_rows = _once(rows, base)
     own = base.where(F.size("base") > 0).dropDuplicates(["doc_id", "t"]).select("t", entities(F.col("base")).alias("entities"), "terms")
     texts = cut(own.groupBy("t").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count("*").alias("n")))
-    # a term has no more support than its entity has different texts
-    named = texts.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("support"))
-    named = cut(named.where(F.col("support") >= SUPPORT).drop("support"))
+    texts = cut(with_context(texts))
+    # only one document of a context counts; the others leave the corpus of all counts
+    surplus = texts.withColumn("n", F.col("n") - F.when(F.col("context") == F.col("t"), 1).otherwise(0)).where("n > 0")
+    n_docs = n_rows - (surplus.agg(F.sum("n")).first()[0] or 0)
+    texts = texts.where(F.col("context") == F.col("t"))
+    # a term has no more support than its entity has contexts
+    named = cut(texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT))
     often, n_entities = small_side(named.select(F.col("entity").alias("_entity")), F.length("_entity") + 32)
-    held = texts.select("n", "terms", F.explode("entities").alias("entity")).join(often, F.col("entity") == F.col("_entity"), "left_semi")
-    n_te = held.select("entity", "n", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("support"))
-    n_te = n_te.where(F.col("support") >= SUPPORT).drop("support")
-    n_t = cut(rows.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= SUPPORT))
+    held = texts.select("terms", F.explode("entities").alias("entity")).join(often, F.col("entity") == F.col("_entity"), "left_semi")
+    n_te = held.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    counted = rows.select(F.explode(terms(F.col("text"))).alias("term"), F.lit(1).cast("bigint").alias("n")).unionByName(surplus.select(F.explode("terms").alias("term"), (-F.col("n")).alias("n")))
+    n_t = cut(counted.groupBy("term").agg(F.sum("n").alias("n_t")).where(F.col("n_t") >= SUPPORT))
     judgements = float(max(n_t.count() * n_entities, 1))
     paired = n_te.join(named, "entity").join(n_t, "term").where(F.col("n_e") < n_docs)
     near, base_rate = F.col("n_te") / F.col("n_t"), F.col("n_e") / F.lit(float(n_docs))
