@@ -1,11 +1,10 @@
 """Line deduplication over the whole corpus with an edit bound, by deletion neighbourhoods.
 
-Lines are compared as word sequences. A line of fewer than min_words words is
-never removed; one of at least near_words words also matches a line that
-differs by one word (put in, left out or replaced), both being that long. The
-defaults are those of the SQL of op5_line_dedup; WHOLE takes exact repeats of
-every line with a word in it, and edits from 5 words on. A line is removed if
-it equals, or matches, a line that first occurs earlier (by id, then line
+Lines are compared as word sequences. Every line with a word in it matches an
+equal one; one of at least near_words words also matches a line that differs by
+one word (put in, left out or replaced), both being that long: in a shorter line
+one word is over a fifth of the line, and the edit changes what it says. A line
+is removed if it matches a line that first occurs earlier (by id, then line
 number); whether that one is itself removed does not matter.
 
 1. One pass hashes the lines; equal lines become a class with its first place
@@ -19,8 +18,7 @@ number); whether that one is itself removed does not matter.
    longer. Either way a group gives one pair per member, never all pairs.
    The pairs' edit distance is then verified on the words themselves.
 
-Defined results: a null text stays null; blank lines and those under min_words
-stay; null ids come last; rows of equal id and text count as one document (their lines
+Defined results: a null text stays null; lines without a word stay; null ids come last; rows of equal id and text count as one document (their lines
 tie and share a fate); a text that loses all its lines becomes empty, its row
 stays; an empty table gives no rows; columns other than id and text are
 carried, whatever their names; very long texts and lines are scanned whole.
@@ -39,10 +37,10 @@ from pyspark.sql import functions as F
 from tessera.llm.bytescan import U64, Block, blocks, mix, powers
 from tessera.llm.common import arrow_map, cut, small_side
 
-MIN_WORDS = 5
-NEAR_WORDS = 10
-#: Bounds that leave no repeat; an edit of a line under 5 words is over a fifth of it, so those only match exactly.
-WHOLE = {"min_words": 1, "near_words": 5}
+#: Words that a line needs to be compared at all, and to be compared within the edit bound.
+MIN_WORDS = 1
+NEAR_WORDS = 5
+WHOLE: dict[str, int] = {}
 _Q = 0xC2B2AE3D27D4EB4F
 _Q_INV = pow(_Q, -1, 1 << 64)
 
@@ -146,29 +144,39 @@ def _scan_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(variants.view(np.int64)), pa.array(placed.view(np.int64))], ["h", "v", "placed"])
 
 
-def within(a: list[int], b: list[int], bound: int = 1) -> bool:
-    """Whether the edit distance of two sequences is at most bound (rows of a band around the diagonal)."""
-    if abs(len(a) - len(b)) > bound:
-        return False
-    big = bound + 1
-    row = {j: j for j in range(min(bound, len(b)) + 1)}
-    for i, x in enumerate(a, 1):
-        new = {}
-        for j in range(max(0, i - bound), min(len(b), i + bound) + 1):
-            best = min(row.get(j, big) + 1, new.get(j - 1, big) + 1)
-            if j:
-                best = min(best, row.get(j - 1, big) + (x != b[j - 1]))
-            new[j] = min(best, big)
-        if min(new.values()) > bound:
-            return False
-        row = new
-    return row.get(len(b), big) <= bound
+def _agree(a: np.ndarray, a0: np.ndarray, b: np.ndarray, b0: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
+    """How many of n elements agree from a[a0] and b[b0] on, forwards or backwards, before the first that differs."""
+    ends = np.cumsum(n + 1)
+    at = np.arange(ends[-1]) - np.repeat(ends - n - 1, n + 1)
+    stop = at == np.repeat(n, n + 1)  # a last place that always differs, so that no stretch is empty
+    here = ~stop
+    differs = stop.copy()
+    differs[here] = a[np.repeat(a0, n + 1)[here] + step * at[here]] != b[np.repeat(b0, n + 1)[here] + step * at[here]]
+    return np.minimum.reduceat(np.where(differs, at, len(at)), ends - n - 1)
+
+
+def one_edit(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """Which pairs of sequences, laid end to end in a and b, are at most one edit apart."""
+    if not len(a_sizes):
+        return np.zeros(0, bool)
+    a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
+    n = np.minimum(a_sizes, b_sizes)
+    same = _agree(a, a_ends - a_sizes, b, b_ends - b_sizes, n, 1) + _agree(a, a_ends - 1, b, b_ends - 1, n, -1)
+    apart = np.abs(a_sizes - b_sizes)
+    return ((apart == 0) & (same >= n - 1)) | ((apart == 1) & (same >= n))
+
+
+def within(a: list, b: list) -> bool:
+    """Whether two sequences are at most one edit apart."""
+    return bool(one_edit(np.array(a, object), np.array([len(a)]), np.array(b, object), np.array([len(b)]))[0])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = [within(a, b) for a, b in zip(batch.column("words").to_pylist(), batch.column("other_words").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("h").filter(pa.array(ok, pa.bool_()))], ["h"])
+        a, b = batch.column("words"), batch.column("other_words")
+        sizes = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+        ok = one_edit(a.flatten().to_numpy(zero_copy_only=False), sizes[0], b.flatten().to_numpy(zero_copy_only=False), sizes[1])
+        yield pa.RecordBatch.from_arrays([batch.column("h").filter(pa.array(ok))], ["h"])
 
 
 def _near(docs: DataFrame, classes: DataFrame, near_words: int) -> DataFrame:
@@ -204,13 +212,26 @@ def _near(docs: DataFrame, classes: DataFrame, near_words: int) -> DataFrame:
     pairs = replaced.unionByName(longer).distinct()
     known = lines.select("h", "words")
     pairs = pairs.join(known, "h").join(known.select(F.col("h").alias("other"), F.col("words").alias("other_words")), "other")
-    return pairs.select("h", "words", "other_words").mapInArrow(_verify, "h bigint").distinct()
+    return arrow_map(pairs.select("h", "words", "other_words"), _verify, "h bigint").distinct()
 
 
 def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _without(lines: Column, removed: Column) -> Column:
+    """The lines between the sorted removed ones as a text: stretches are cut out whole, so the work is linear in the lines."""
+
+    def kept(x: Column) -> Column:
+        after = lambda k: F.coalesce(F.get(x["removed"], k - 1), F.lit(-1)) + 2  # noqa: E731  the place, from 1, behind the removed line before
+        stretches = F.transform(x["removed"], lambda r, k: F.slice(x["lines"], after(k), r + 1 - after(k)))
+        last = after(F.size(x["removed"]))
+        return F.concat(F.flatten(stretches), F.slice(x["lines"], last, F.greatest(F.size(x["lines"]) + 1 - last, F.lit(0))))
+
+    bound = F.array(F.struct(lines.alias("lines"), removed.alias("removed")))
+    return F.array_join(F.get(F.transform(bound, kept), F.lit(0)), "\n")
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(doc_id, t, removed): per document (t: its text's hash) the numbers of the lines to remove, where there are any."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("t", _text_hash(F.col("text")))
@@ -228,13 +249,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """The documents' rows with the removed lines taken out of the text, and n_lines, n_removed besides."""
-    gone, _ = small_side(removals(docs, id_col, text_col, min_words, near_words).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "removed"), 64)
+    gone, _ = small_side(removals(docs, id_col, text_col, min_words, near_words).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "removed"), F.size("removed") * 4 + 64)
     carried = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*carried).alias("_row"), F.col(id_col).alias("_own_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_own_t", _text_hash(F.col("_text")))
     joined = rows.join(gone, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_t") == F.col("_t")), "left")
-    split = F.split(F.col("_text"), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(kept)
+    text = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(_without(F.split(F.col("_text"), "\n", -1), F.col("removed")))
     n_lines = F.length(F.coalesce("_text", F.lit(""))) - F.length(F.regexp_replace(F.coalesce("_text", F.lit("")), "\n", "")) + 1
     columns = [(text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
     return joined.select(*columns, n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"))

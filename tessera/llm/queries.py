@@ -173,12 +173,6 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@_query("op5_line_dedup_whole")
-def op5_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the SQL's lower bounds: exact repeats at every length, edits from 5 words on, as in the pipeline."""
-    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), **line_dedup.WHOLE)
-
-
 @_query(
     "op3_vector_near_dup",
     """

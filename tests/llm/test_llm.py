@@ -249,6 +249,16 @@ def test_line_dedup_whole_at_every_length(spark):
     assert {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, None).collect()} == want
 
 
+def test_line_dedup_many_lines_in_one_text(spark):
+    """Every line of a long text repeats, and every other one of another: linear in the lines."""
+    text = "\n".join(["same line here"] * 30_000)
+    mixed = "\n".join(x for i in range(15_000) for x in (f"own line number {i}", "same line here"))
+    start = time.time()
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame([(1, text), (2, mixed)], "doc_id long, text string")).collect()}
+    assert time.time() - start < 60
+    assert got[1] == "same line here" and got[2] == "\n".join(f"own line number {i}" for i in range(15_000))
+
+
 def test_line_dedup_carries_clashing_columns(docs, corpus):
     out = line_dedup.dedup(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"] and out.count() == len(corpus)
