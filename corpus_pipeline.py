@@ -3,6 +3,13 @@
 Each stage takes what its predecessor kept, whole. run() keeps every stage's
 result in the shared checkpoint folder, so that a lost executor costs one
 stage's partitions and nothing is computed twice.
+
+Defined results: an empty table gives no rows; a null text counts as empty
+where it is scored, deduplicated and mixed, and so is never in the mix; rows
+with a null id are documents of their own, of which equal texts are near
+duplicates; repeated rows are near duplicates of each other; of near duplicates
+the smallest id stays, of equal ids one row; extra columns are carried to the
+end, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of any length that repeat an earlier one, and from 5 words on those a word apart, go; a document that loses all stays, empty."""
-    rows = line_dedup.dedup(docs, **line_dedup.WHOLE)
+    rows = line_dedup.dedup(docs)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
