@@ -40,7 +40,6 @@ from tessera.llm.common import arrow_map, cut, small_side
 #: Words that a line needs to be compared at all, and to be compared within the edit bound.
 MIN_WORDS = 1
 NEAR_WORDS = 5
-WHOLE: dict[str, int] = {}
 _Q = 0xC2B2AE3D27D4EB4F
 _Q_INV = pow(_Q, -1, 1 << 64)
 

@@ -245,7 +245,7 @@ def test_line_dedup_whole_at_every_length(spark):
     assert {len(w) for w in near} >= set(range(5, 11)) and {1, 2, 3, 4} <= {len(w) for i, k, w in lines if (i, k) in gone}
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
-    assert {r.doc_id: r.text for r in line_dedup.dedup(docs, **line_dedup.WHOLE).collect()} == want
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()} == want
     assert {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, None).collect()} == want
 
 
