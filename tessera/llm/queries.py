@@ -70,17 +70,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op4_mix_sources",
     rf"""
     WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SQL_WORD}')) AS size,
-                      md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+                      md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
     s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
     w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][(rank - 1) % 3 + 1] AS weight, CAST(2 * source_size AS DOUBLE) AS cap,
                  3.0::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
     h AS (SELECT *, 2 * cap * sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
                  <= weight * (total - 2 * coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS held FROM w),
-    t AS (SELECT source, source_size, CASE WHEN held THEN cap ELSE weight * (total - 2 * sum(CASE WHEN held THEN cap ELSE 0 END) OVER ())
-                 / (2 * sum(CASE WHEN held THEN 0 ELSE weight END) OVER ()) END AS target FROM h),
-    q AS (SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target, CAST(floor(target) AS BIGINT) AS budget,
+    t AS (SELECT source, rank, CAST(source_size AS BIGINT) AS source_size, CAST(CASE WHEN held THEN cap ELSE weight * (total - 2 * sum(CASE WHEN held THEN cap ELSE 0 END) OVER ())
+                 / (2 * sum(CASE WHEN held THEN 0 ELSE weight END) OVER ()) END AS DOUBLE) AS target FROM h),
+    f AS (SELECT *, CAST(floor(target) AS BIGINT) AS whole, CAST(3 * sum(source_size) OVER () // 2 - sum(CAST(floor(target) AS BIGINT)) OVER () AS BIGINT) AS left_over FROM t),
+    x AS (SELECT source, whole, left_over, row_number() OVER (ORDER BY e / target, rank, e) AS place
+          FROM f, unnest(range(whole + 1, least(whole + left_over, 2 * source_size) + 1)) AS u(e)),
+    b AS (SELECT f.source, f.source_size, f.target, f.whole + count(x.place) AS budget FROM f LEFT JOIN x ON x.source IS NOT DISTINCT FROM f.source AND x.place <= x.left_over
+          GROUP BY f.source, f.source_size, f.target, f.whole),
+    q AS (SELECT doc_id, size, source_size, target, budget,
                  CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto
-          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+          FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
     SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
            CAST(greatest(0, least(size, budget - upto + size)) + greatest(0, least(size, budget - upto - source_size + size)) AS BIGINT) AS taken FROM q
     """,
