@@ -6,7 +6,6 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import chat, line_dedup, mixing, near_dup, pii, quality, rules, sentence_piece, urls, vector_dup
 from tessera.llm.common import table
@@ -94,8 +93,6 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
-#: Production block list: mirror hosts, which only repeat another host's pages.
-_MIRROR = r"^(m|mobile|wap|amp)[.]"
 _OP8_RULES = " ".join(
     f"WHEN (host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '{path}') THEN '{host}{path}|{verdict}'"
     for verdict, host, path in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
@@ -105,15 +102,19 @@ _OP8_RULES = " ".join(
 @_query(
     "op8_url_filter",
     rf"""
-    WITH p AS (SELECT page_id, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-    h AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p),
+    WITH p AS (SELECT page_id, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
+                 CASE WHEN len(regexp_extract_all(coalesce(html, ''), '{urls.SIGN}')) >= {urls.SIGNS} THEN 1 ELSE 0 END AS junk FROM pages),
+    h AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path, junk FROM p),
+    l AS (SELECT host AS key FROM h WHERE host <> '' GROUP BY host HAVING {urls.JUNK_SHARE} * sum(junk) > count(*)),
     r AS (SELECT *, CASE {_OP8_RULES} END AS hit FROM h)
     SELECT page_id, host, path, split_part(hit, '|', 1) AS rule,
-           CASE WHEN hit IS NOT NULL THEN split_part(hit, '|', 2) WHEN regexp_matches(host, '{_MIRROR}') THEN 'block' ELSE 'allow' END AS verdict FROM r
+           CASE WHEN hit IS NOT NULL THEN split_part(hit, '|', 2) WHEN l.key IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM r LEFT JOIN l ON l.key = r.host
     """,
 )
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), F.col("key").rlike(_MIRROR))
+    """The production list is a table made from the pages: hosts that serve filler."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.junk_hosts(pages))
 
 
 @_query(

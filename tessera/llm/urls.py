@@ -1,7 +1,7 @@
 """URL filtering: host/path rules first, then exact list membership by a Bloom filter cascade.
 
-The cascade is built over the complete universe of keys (all hosts of the
-corpus). Level 0 encodes the listed keys; level 1 encodes the unlisted keys
+The list is a table of keys. The cascade is built over the complete universe of
+keys (all hosts of the corpus and of the list). Level 0 encodes the listed keys; level 1 encodes the unlisted keys
 that level 0 lets through; level 2 the listed ones that level 1 lets through;
 and so on until nothing passes wrongly. A key's answer is given by the first
 level that rejects it, so every key of the universe is answered exactly, with
@@ -10,8 +10,9 @@ finished cascade is broadcast only if its bits fit a stated size, otherwise
 membership falls back to a shuffled semi join, which is exact as well.
 
 Defined results: a null url, or one without `://`, has an empty host and path,
-fits no rule and is allowed; repeated rows give repeated rows; an empty list
-or table gives an empty cascade; of rules that fit, the longest wins; other
+fits no rule and is allowed; repeated rows give repeated rows; null, empty and
+repeated keys of the list add nothing; an empty list or table gives an empty
+cascade; of rules that fit, the longest wins; other
 columns are ignored, whatever their names.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import mix
-from tessera.llm.common import cut
+from tessera.llm.common import arrow_map, cut
 
 #: (verdict, host, path)
 RULES = (
@@ -38,6 +39,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
+#: A run of one symbol, and how many of them make a page junk.
+SIGN = r"[#]{3}|[*]{3}|[$]{3}|%{3}"
+SIGNS = 10
+JUNK_SHARE = 20
 BUCKET_BITS = 1 << 15
 MOST_BYTES = 256 << 20
 
@@ -106,7 +111,7 @@ def _level(keys: DataFrame, index: int, n: int, rate: float) -> Level:
                 rows.append((int(b), np.packbits(flags, bitorder="little").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "bitmap"])
 
-    merged = keys.select("h1", "h2").mapInArrow(partial, "bucket bigint, bitmap binary").groupBy("bucket").agg(F.expr("bitmap_or_agg(bitmap)").alias("bitmap"))
+    merged = arrow_map(keys.select("h1", "h2"), partial, "bucket bigint, bitmap binary").groupBy("bucket").agg(F.expr("bitmap_or_agg(bitmap)").alias("bitmap"))
     words = np.zeros(bits // 8, np.uint8)
     for row in merged.toLocalIterator():  # bits / 8 bytes in all, checked before by build()
         words[row.bucket * BUCKET_BITS // 8 : (row.bucket + 1) * BUCKET_BITS // 8] = np.frombuffer(row.bitmap, np.uint8)
@@ -116,9 +121,9 @@ def _level(keys: DataFrame, index: int, n: int, rate: float) -> Level:
 def build(universe: DataFrame, most_bytes: int = MOST_BYTES) -> list[Level] | None:
     """The cascade over universe (key, listed), or None where its first level would not fit most_bytes.
 
-    The universe is reduced to two hashes per distinct key and written once.
+    universe has one row a key; two hashes of each are written once.
     """
-    keys = universe.groupBy("key").agg(F.max("listed").alias("listed")).select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), "listed")
+    keys = universe.select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), "listed")
     keys = cut(keys)
     counts = {row.listed: row.n for row in keys.groupBy("listed").agg(F.count("*").alias("n")).collect()}
     n_in, n_out = counts.get(True, 0), counts.get(False, 0)
@@ -170,12 +175,21 @@ def listed(rows: DataFrame, key: str, universe: DataFrame, most_bytes: int = MOS
     return rows.withColumn("listed", member(F.xxhash64(key), F.xxhash64(key, F.lit(1))))
 
 
-def judge(pages: DataFrame, block_list: Column, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict. block_list says of a column `key` (a host) whether the list holds it."""
+def junk_hosts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(key): the hosts of which over one page in JUNK_SHARE shows SIGNS or more runs of one symbol, as filler does; a block list made from the pages."""
+    host, _ = host_and_path(F.col(url_col))
+    junk = F.coalesce(F.regexp_count(F.col(html_col), F.lit(SIGN)), F.lit(0)) >= SIGNS
+    hosts = pages.select(host.alias("key"), junk.cast("int").alias("junk")).where("key <> ''").groupBy("key").agg(F.sum("junk").alias("junk"), F.count("*").alias("n"))
+    return hosts.where(F.col("junk") * JUNK_SHARE > F.col("n")).select("key")
+
+
+def judge(pages: DataFrame, block_list: DataFrame, key: str = "key", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """page_id, host, path, rule, verdict. block_list is a table of hosts in its column key; the universe is its hosts and those of the pages."""
     host, path = host_and_path(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    universe = parts.select(F.col("host").alias("key")).where("key <> ''").distinct().withColumn("listed", block_list)
-    marked = listed(parts, "host", universe)
+    keys = block_list.select(F.col(key).cast("string").alias("key"), F.lit(True).alias("listed"))
+    universe = parts.select(F.col("host").alias("key"), F.lit(False).alias("listed")).unionByName(keys).where("key <> ''")
+    marked = listed(parts, "host", universe.groupBy("key").agg(F.max("listed").alias("listed")))
     rule = ruling(F.col("host"), F.col("path"))
     on_list = F.when((F.col("host") != "") & F.col("listed"), "block").otherwise("allow")
     return marked.withColumn("r", rule).select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), on_list).alias("verdict"))

@@ -66,7 +66,7 @@ def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     frames = [
         pii.report(empty), pii.sanitise(empty), sentence_piece.encode(empty, sentencepiece_model(), carry=["doc_id"]), vector_dup.linked(vectors), mixing.taken(empty), mixing.mix(empty), line_dedup.dedup(empty),
-        quality.judged(empty, labels), quality.accepted(empty, labels), chat.formatted(conversations, TOOL_SCHEMAS), urls.judge(pages, F.col("key").rlike("^m")), near_dup.grouped(empty), near_dup.representatives(empty),
+        quality.judged(empty, labels), quality.accepted(empty, labels), chat.formatted(conversations, TOOL_SCHEMAS), urls.judge(pages, urls.junk_hosts(pages)), near_dup.grouped(empty), near_dup.representatives(empty),
         rules.judge(rules.ledger(empty)), rules.ablation(rules.ledger(empty)),
     ]
     assert [f.count() for f in frames[:-1]] == [0] * (len(frames) - 1)
@@ -408,14 +408,31 @@ def test_urls(spark):
         ("x\ny://H\n/p\n?", "h\n", "/p\n", None, "allow"), ("http://m.x.com/q", "m.x.com", "/q", None, "block"),
     ]
     df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "page_id long, url string").withColumns({"host": F.lit("x"), "key": F.lit("y")})
-    got = {r.page_id: r for r in urls.judge(df, F.col("key").rlike("^m[.]")).collect()}
+    listing = spark.createDataFrame([("m.x.com",), ("m.x.com",), (None,), ("",), ("not.in.pages",)], "key string")
+    got = {r.page_id: r for r in urls.judge(df, listing).collect()}
     for i, (_, host, path, rule, verdict) in enumerate(rows):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict), rows[i]
 
 
+def test_junk_hosts(spark):
+    rows = [(0, "http://A.x/1", "### *** " * 5), (1, "http://a.x/2", "$$$" * 10), (2, "http://a.x/3", None), (3, "http://b.x", "%%%" * 10), (5, None, "###" * 99)] + [(10 + i, "http://b.x/q", "fine") for i in range(19)]
+    assert [r.key for r in urls.junk_hosts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()] == ["a.x"]
+
+
+def test_cascade_with_list_from_both_sides(spark):
+    """Some keys are only in the pages, some only in the list; every page's verdict is the list's."""
+    rng = random.Random(2)
+    hosts = [f"h{i}.net" for i in range(3000)]
+    pages = spark.createDataFrame([(i, f"http://{rng.choice(hosts)}/p") for i in range(5000)], "page_id long, url string")
+    held = set(rng.sample(hosts, 400)) | {f"only{i}.net" for i in range(400)}
+    listing = spark.createDataFrame([(h, 1) for h in held], "host string, key int")
+    got = urls.judge(pages, listing, key="host").collect()
+    assert len(got) == 5000 and all((r.verdict == "block") == (r.host in held) for r in got)
+
+
 @pytest.mark.parametrize("share", [0.0, 0.001, 0.3, 0.9, 1.0])
 def test_cascade_is_exact(spark, share):
-    keys = spark.range(20_000).select(F.col("id").cast("string").alias("key"), (F.rand(1) < share).alias("listed")).localCheckpoint()
+    keys = spark.range(20_000).select(F.col("id").cast("string").alias("key"), (F.pmod(F.xxhash64("id"), F.lit(1000)) < share * 1000).alias("listed"))
     got = urls.listed(keys.withColumnRenamed("listed", "truth"), "key", keys)
     assert got.where("listed <> truth").count() == 0
     over = urls.listed(keys.withColumnRenamed("listed", "truth"), "key", keys, most_bytes=1)
