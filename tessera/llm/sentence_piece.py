@@ -3,13 +3,16 @@
 The model file is read here byte by byte (protobuf wire format) and rebuilt as
 a tokenizers model: its normaliser (character map, extra spaces, dummy
 prefix), the space marker, unigram scores or BPE merges in score order, and
-byte fallback. No piece of such a model reaches over a boundary between a
+byte fallback. Only normal and user-defined pieces match text: control, unknown
+and byte pieces are none, though a text may spell one out; in BPE models
+user-defined pieces are matched before any merge. No piece of such a model reaches over a boundary between a
 non-marker and a marker unless the vocabulary has a piece that does, which is
 checked; a text is therefore encoded unit by unit (a run of markers with what
 follows), each distinct unit once, in multithreaded batches.
 
-The rebuilt model is compared with the sentencepiece library on probes and on
-the first texts of every task (`verify`); a difference raises.
+The rebuilt model is compared with the sentencepiece library on probes, on the
+first texts of every task and on every text that spells out a piece that is not
+a normal one (`verify`); a difference raises.
 
 Defined results: a null text has null ids and decodes to null; an empty text
 has no ids and decodes to the empty text; decoding gives the text back except
@@ -20,6 +23,7 @@ very long texts are encoded whole; other columns are ignored or carried.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -128,22 +132,34 @@ def parse(data: bytes) -> Model:
     return m
 
 
-def rebuild(m: Model):
-    """The tokenizers model: pieces by score, byte fallback."""
+def _hidden(i: int) -> str:
+    """What stands in the vocabulary for piece i, which no text may match."""
+    return f"\x00{i}\uffff"
+
+
+def rebuild(m: Model, byte_pieces: bool = True):
+    """The tokenizers model. Only normal and user-defined pieces match text; byte pieces are there for the fallback, unless left out."""
     from tokenizers import Tokenizer, models
 
+    shown = {NORMAL, USER} | ({BYTE} if byte_pieces else set())
     if m.unigram:
-        inner = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk_id, m.byte_fallback)
+        # a user-defined piece scores by its length; of hidden pieces no score is ever used
+        most = max((s for _, s, kind in m.pieces if kind == NORMAL), default=0.0)
+        scored = {NORMAL: lambda p, s: s, USER: lambda p, s: len(p.encode()) * most - 0.1}
+        vocab = [(p if kind in shown else _hidden(i), scored.get(kind, lambda p, s: 0.0)(p, s)) for i, (p, s, kind) in enumerate(m.pieces)]
+        inner = models.Unigram(vocab, m.unk_id, m.byte_fallback and byte_pieces)
     else:
-        vocab = {p: i for i, (p, _, _) in enumerate(m.pieces)}
-        usable = {p: s for p, s, kind in m.pieces if kind in (NORMAL, USER)}
+        if any(kind == UNUSED for _, _, kind in m.pieces):
+            raise ValueError("BPE models with unused pieces are not supported")
+        vocab = {p if kind in shown or i == m.unk_id else _hidden(i): i for i, (p, _, kind) in enumerate(m.pieces)}
+        usable = {p: s for p, s, kind in m.pieces if kind == NORMAL}
         merges = []
         for p, s in usable.items():
             for k in range(1, len(p)):
                 if p[:k] in usable and p[k:] in usable:
                     merges.append((-s, vocab[p], vocab[p[:k]], vocab[p[k:]], p[:k], p[k:]))
         merges.sort()
-        inner = models.BPE(vocab, [(x[4], x[5]) for x in merges], unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback)
+        inner = models.BPE(vocab, [(x[4], x[5]) for x in merges], unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback and byte_pieces)
     return Tokenizer(inner)
 
 
@@ -172,6 +188,16 @@ class Codec:
         pieces = [p for p, _, kind in self.model.pieces if kind in (NORMAL, USER)]
         whole = any(MARK in p.lstrip(MARK) for p in pieces)
         line_ends = not any("\n" in p for p in pieces)  # then no piece crosses one
+        users = sorted((p for p, _, kind in self.model.pieces if kind == USER), key=lambda p: (-len(p), p))
+        self._user = re.compile("(" + "|".join(map(re.escape, users)) + ")") if users else None
+        # in BPE a user-defined piece is matched before any merge and takes no part in one
+        self._frozen = {} if self.model.unigram else {p: i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == USER}
+        # a text that spells a byte piece out needs a vocabulary without them
+        self._spelt = re.compile("<0x[0-9A-F]{2}>") if self.model.unigram and self.model.byte_fallback else None
+        names = sorted({p for p, _, kind in self.model.pieces if kind != NORMAL and kind != BYTE and p})
+        names += ["<0x[0-9A-F]{2}>"] if any(kind == BYTE for _, _, kind in self.model.pieces) else []
+        self._names = re.compile("|".join(x if x.startswith("<0x[") else re.escape(x) for x in names)) if names else None
+        self._bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE}
         self._units = re.compile("(?s).+" if whole else (f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if line_ends else f"{MARK}*[^{MARK}]+|{MARK}+"))
         self._normal = None
         if self.model.charsmap:
@@ -182,6 +208,8 @@ class Codec:
         self._piece_bytes = np.frombuffer(b"".join(shown), np.uint8)
         self._piece_ends = np.zeros(len(shown) + 1, np.int64)
         np.cumsum([len(x) for x in shown], out=self._piece_ends[1:])
+        # 0: no marker at its beginning, 1: only a marker, 2: more behind it
+        self._marked = [(p[:1] == MARK) + (p[:1] == MARK and len(p) > 1) if kind in (NORMAL, USER) else 0 for p, _, kind in self.model.pieces]
         self._plain = self._normal is None and not self.model.collapse
         self.clear()
 
@@ -192,10 +220,13 @@ class Codec:
 
     def normalise(self, text: str) -> str:
         if self._normal is not None:
-            text = self._normal.normalize_str(text)
-        text = text.replace(" ", MARK)
-        if self.model.collapse:
-            text = re.sub(f"{MARK}+", MARK, text).strip(MARK)
+            # user-defined pieces are left as they are
+            parts = self._user.split(text) if self._user else [text]
+            text = "".join(part if k % 2 else self._normal.normalize_str(part) for k, part in enumerate(parts))
+        if self.model.collapse:  # only spaces collapse, not markers that the text itself holds, but at the end both go
+            text = re.sub(" +", " ", text).lstrip(" ").replace(" ", MARK).rstrip(MARK)
+        else:
+            text = text.replace(" ", MARK)
         return MARK + text if text and self.model.dummy_prefix else text
 
     def shown(self, text: str) -> str:
@@ -209,6 +240,11 @@ class Codec:
         new, self._seen.new = self._seen.new, []
         start = len(self._seen) - len(new)
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        for k, unit in enumerate(new):
+            if unit in self._frozen:
+                encoded[k] = [self._frozen[unit]]
+            elif self._spelt and self._spelt.search(unit):
+                encoded[k] = self._spelt_out(unit)
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(sizes.sum()))
         used = int(self._ends[start])
@@ -219,11 +255,29 @@ class Codec:
         self._ids[used : used + len(flat)] = flat
         self._ends[start + 1 : start + len(new) + 1] = used + np.cumsum(sizes)
 
+    @functools.cached_property
+    def _without_bytes(self):
+        return rebuild(self.model, byte_pieces=False)
+
+    def _spelt_out(self, unit: str) -> list[int]:
+        """Ids of a unit that holds the name of a byte piece as text: unknown stretches fall back to bytes here."""
+        encoding = self._without_bytes.encode(unit, add_special_tokens=False)
+        ids = []
+        for i, (a, z) in zip(encoding.ids, encoding.offsets, strict=True):
+            ids += [self._bytes[x] for x in unit[a:z].encode()] if i == self.model.unk_id else [i]
+        return ids
+
+    def _split(self, text: str) -> list[str]:
+        text = self.normalise(text)
+        if not self._frozen:
+            return self._units.findall(text)
+        return [unit for k, part in enumerate(self._user.split(text)) for unit in ([part] if k % 2 else self._units.findall(part))]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(bounds, ids): text i has ids[bounds[i]:bounds[i + 1]]."""
         if len(self._seen) > CACHE_UNITS:
             self.clear()
-        units = [self._units.findall(self.normalise(t)) for t in texts]
+        units = [self._split(t) for t in texts]
         per_text = np.fromiter(map(len, units), np.int64, len(units))
         at = np.fromiter(map(self._seen.__getitem__, chain.from_iterable(units)), np.int64, int(per_text.sum()))
         if self._seen.new:
@@ -244,14 +298,29 @@ class Codec:
         data = self._piece_bytes[np.arange(ends[-1]) + np.repeat(self._piece_ends[ids] - ends[:-1], size)].tobytes()
         cuts = ends[bounds].tolist()
         texts = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        if self.model.collapse:  # each piece loses a leading space as long as nothing else came before
+            for i, t in enumerate(texts):
+                lost = 0
+                for piece in ids[bounds[i] : bounds[i + 1]].tolist():
+                    lost += self._marked[piece] > 0
+                    if self._marked[piece] != 1:
+                        break
+                texts[i] = t[lost:]
+            return texts
         return [t[1:] if t[:1] == b" " else t for t in texts] if self.model.dummy_prefix else texts
 
+    def names_piece(self, text: str) -> bool:
+        """Whether the text spells out a piece that is not a normal one."""
+        return self._names is not None and self._names.search(text) is not None
+
     def verify(self, texts) -> None:
         """Raise unless the sentencepiece library gives the same ids and the same decoded texts."""
         import sentencepiece
 
         own = sentencepiece.SentencePieceProcessor(model_file=self.path)
         texts = list(texts)
+        if not texts:
+            return
         bounds, ids = self.encode(texts)
         for i, (text, back) in enumerate(zip(texts, self.decode(bounds, ids), strict=True)):
             got = ids[bounds[i] : bounds[i + 1]].tolist()
@@ -294,9 +363,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", carry: list
                 part = batch.slice(at, SLICE)
                 null = part.column(0).is_null().to_numpy(zero_copy_only=False)
                 texts = part.column(0).fill_null("").to_pylist()
-                if checked < VERIFIED:
-                    own.verify(texts[: VERIFIED - checked])
-                    checked += len(texts)
+                own.verify(texts[: max(VERIFIED - checked, 0)] + [t for t in texts[max(VERIFIED - checked, 0) :] if own.names_piece(t)])
+                checked += len(texts)
                 bounds, ids = own.encode(texts)
                 back = own.decode(bounds, ids)
                 same = [x == own.shown(y).encode() for x, y in zip(back, texts, strict=True)]

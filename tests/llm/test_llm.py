@@ -360,6 +360,36 @@ def test_sentencepiece_fuzz():
     sentence_piece.Codec(sentencepiece_model()).verify("".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(500))
 
 
+@pytest.fixture(scope="module", params=["unigram", "unigram-bytes", "bpe", "bpe-bytes"])
+def small_model(request, tmp_path_factory):
+    """Tokenizers are never trained for the corpus; these toy models only exist to compare the other kinds of model files with the library."""
+    import sentencepiece
+
+    kind, _, fallback = request.param.partition("-")
+    folder, rng = tmp_path_factory.mktemp("piece"), random.Random(1)
+    some = [*WORDS, "mask", "unk", "café", "12", "345", "<s>"]
+    (folder / "text").write_text("\n".join(" ".join(rng.choice(some) for _ in range(rng.randint(3, 20))) for _ in range(2000)))
+    more = {"byte_fallback": True, "vocab_size": 340, "normalization_rule_name": "identity"} if fallback else {"vocab_size": 90}
+    sentencepiece.SentencePieceTrainer.train(input=str(folder / "text"), model_prefix=str(folder / "m"), model_type=kind, user_defined_symbols=["<mask>", "<sep>", "ph"], hard_vocab_limit=False, minloglevel=2, **more)
+    return str(folder / "m.model")
+
+
+def test_sentencepiece_kinds_of_models_and_pieces(small_model):
+    """Unigram and BPE, with and without byte fallback; control, unknown, byte and user-defined pieces spelt out in the text."""
+    rng = random.Random(0)
+    parts = [" ", "  ", "▁", "a", "ph", "alpha", "<mask>", "<mas", "mask>", "<sep>", "<s>", "</s>", "<unk>", "<0x41>", "<0x0A>", "é", "漢", "😀", "12", "\n", "\t", "beta", "Ａ"]
+    codec = sentence_piece.Codec(small_model)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=small_model)
+    bounds, ids = codec.encode(texts)
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == own.encode(text), text
+    back = [x.decode("utf-8", "replace") for x in codec.decode(bounds, ids)]
+    assert back == [own.decode(ids[bounds[i] : bounds[i + 1]].tolist()) for i in range(len(texts))]
+
+
 # 3 -------------------------------------------------------------------------
 
 
