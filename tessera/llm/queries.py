@@ -213,10 +213,11 @@ TOOL_SCHEMAS: chat.Schemas = {
     "op7_chat_format",
     """
     WITH m AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
-    j AS (SELECT *, CAST(turn // 512 AS BIGINT) AS part, '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS line FROM m)
-    SELECT conv_id, part, count(*) AS n_messages, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_invalid,
+    j AS (SELECT *, CAST(turn // 512 AS BIGINT) AS part, '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS line FROM m),
+    i AS (SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, role, line) - 1) // 512 AS BIGINT) AS piece FROM j)
+    SELECT conv_id, part, piece, count(*) AS n_messages, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_invalid,
            '{"conv_id":' || conv_id || ',"messages":[' || string_agg(line, ',' ORDER BY turn, role, line) || ']}' AS json
-    FROM j GROUP BY conv_id, part
+    FROM i GROUP BY conv_id, part, piece
     """,
 )
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

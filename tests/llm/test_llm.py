@@ -648,6 +648,122 @@ def test_chat_links_and_orders(spark):
         assert r.json == json.dumps(json.loads(r.json), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def tool_rows(rng, conv, n_calls):
+    """A conversation of calls and results with random turns and dependencies, some in circles, some dangling."""
+    ids = [f"k{i}" for i in range(n_calls)]
+    rows, turn = [], list(range(3 * n_calls))
+    rng.shuffle(turn)
+    for i, k in enumerate(ids):
+        needs = rng.sample(ids, min(n_calls, rng.choice([0, 0, 1, 1, 2]))) + (["nowhere"] if rng.random() < 0.1 else [])
+        if rng.random() < 0.8:  # mostly on earlier calls
+            needs = [x for x in needs if x == "nowhere" or int(x[1:]) < i]
+        rows.append((conv, turn[2 * i], "assistant", json.dumps({"content": f"call {k}", "tool_calls": [{"id": k, "name": "search", "arguments": {"query": k}, "depends_on": needs}]})))
+        if rng.random() < 0.9:
+            rows.append((conv, turn[2 * i + 1], "tool", json.dumps({"tool_call_id": k, "content": f"result {k}"})))
+    return rows + [(conv, turn[-1], "user", "plain")]
+
+
+def brute_order(rows):
+    """(content, circular) of one conversation in order: Kahn's algorithm with a place for every message."""
+    parsed = [(turn, role, json.loads(text) if text.startswith("{") else {"content": text}) for _, turn, role, text in rows]
+    caller = {c["id"]: i for i, (_, _, m) in enumerate(parsed) for c in m.get("tool_calls", ())}
+    answer = {m["tool_call_id"]: i for i, (_, _, m) in enumerate(parsed) if "tool_call_id" in m}
+    waits = {i: set() for i in range(len(rows))}
+    for i, (_, _, m) in enumerate(parsed):
+        if m.get("tool_call_id") in caller:
+            waits[i].add(caller[m["tool_call_id"]])
+        for c in m.get("tool_calls", ()):
+            waits[i] |= {answer[x] for x in c["depends_on"] if x in answer and x in caller and answer[x] != i}
+    place = {}
+    while True:
+        ready = {i: max([(parsed[i][0], 0)] + [(place[j][0], place[j][1] + 1) for j in waits[i]]) for i in waits if i not in place and all(j in place for j in waits[i])}
+        if not ready:
+            break
+        place |= ready
+    stuck = set(waits) - set(place)
+    # only conversations with a message ahead of one it waits for are put in order; in the others every place is the turn
+    order = sorted(waits, key=lambda i: (*place.get(i, (parsed[i][0], 0)), parsed[i][0]))
+    return [(parsed[i][2]["content"], i in stuck) for i in order]
+
+
+@pytest.mark.parametrize("most_edges", [0, chat.MOST_EDGES])
+def test_chat_order_brute_force(spark, most_edges):
+    """Random call graphs, peeled as arrays and by joins."""
+    rng = random.Random(7)
+    rows = [r for conv in range(25) for r in tool_rows(rng, conv, rng.randint(1, 9))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.conv_id: json.loads(r.json)["messages"] for r in chat.formatted(df, TOOL_SCHEMAS, most_edges).collect()}
+    circles = 0
+    for conv in range(25):
+        want = brute_order([r for r in rows if r[0] == conv])
+        assert [(m["content"], m.get("circular", False)) for m in got[conv]] == want, conv
+        circles += any(c for _, c in want)
+    assert 0 < circles < 25
+
+
+def test_chat_long_chains(spark):
+    """A thousand calls that each wait for the last one's result, in good order and with the order of turns reversed."""
+    n, rows = 1000, []
+    for conv, turn in ((1, lambda t: t), (2, lambda t: 5000 - t)):
+        for i in range(n):
+            needs = [f"k{i - 1}"] if i else []
+            rows.append((conv, turn(2 * i), "assistant", json.dumps({"tool_calls": [{"id": f"k{i}", "name": "search", "arguments": {"query": "q"}, "depends_on": needs}], "content": f"c{i}"})))
+            rows.append((conv, turn(2 * i + 1), "tool", json.dumps({"tool_call_id": f"k{i}", "content": f"r{i}"})))
+    start = time.time()
+    got = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), TOOL_SCHEMAS).collect()
+    assert time.time() - start < 90
+    for conv in (1, 2):
+        own = sorted((r for r in got if r.conv_id == conv), key=lambda r: (r.part, r.piece))
+        content = [m["content"] for r in own for m in json.loads(r.json)["messages"]]
+        assert content == [x for i in range(n) for x in (f"c{i}", f"r{i}")] and sum(r.n_linked for r in own) == n
+
+
+def test_chat_large_parts_are_cut(spark):
+    rows = [(1, 7, "user", f"text {i:05d}") for i in range(3000)] + [(1, None, "user", f"late {i}") for i in range(600)]
+    got = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    sizes = {(r.part, r.piece): r.n_messages for r in got}
+    assert sizes == {(0, i): min(512, 3000 - 512 * i) for i in range(6)} | {(-1, 0): 512, (-1, 1): 88}
+    content = [m["content"] for r in sorted(got, key=lambda r: r.piece) if r.part == 0 for m in json.loads(r.json)["messages"]]
+    assert content == sorted(content) and len(content) == 3000
+
+
+def test_chat_argument_forms_and_schemas(spark):
+    schemas = {
+        "find": {
+            "type": "object", "required": ["filter"], "additionalProperties": False,
+            "properties": {
+                "mode": {"enum": ["fast", "deep", 3]}, "tags": {"type": "array", "items": {"type": "string"}},
+                "filter": {"type": "object", "required": ["from"], "properties": {"from": {"type": ["integer", "null"]}, "to": {"type": "number"}}, "additionalProperties": False},
+            },
+        }
+    }
+    forms = [
+        ({"id": "a", "name": "find", "arguments": {"filter": {"from": 1}, "mode": "fast", "tags": ["x"]}}, []),
+        ({"id": "b", "name": "find", "arguments": '{"filter": {"from": null, "to": 2.5}}'}, []),
+        ({"id": "c", "type": "function", "function": {"name": "find", "arguments": '{"mode": 3, "filter": {"from": 1}}'}}, []),
+        ({"id": "d", "name": "find", "arguments": {"filter": {"from": "x", "zz": 1}, "mode": "slow", "tags": ["x", 1], "q": 0}}, ["type of filter.from", "unexpected filter.zz", "value of mode", "type of tags[]", "unexpected q"]),
+        ({"id": "e", "name": "find", "arguments": {"filter": {}}}, ["missing filter.from"]),
+        ({"id": "f", "name": "find", "arguments": {"filter": []}}, ["type of filter"]),
+        ({"id": "g", "name": "find", "arguments": "not json"}, ["arguments are not an object"]),
+        ({"name": "find", "arguments": {"filter": {"from": 1}}}, ["missing id"]),
+        ({"id": "h", "name": "other", "arguments": {}}, ["unknown tool"]),
+        ({"id": "i"}, ["arguments are not an object"]),
+    ]
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": [c for c, _ in forms], "model": "m-1", "content": {"parts": [1, "x"]}})), (None, 0, "user", "twice"), (None, 0, "user", "twice"), (2, 0, "tool", '{"tool_call_id": "a", "content": "x", "z z": 1, "z": [2]}'), (3, 0, "user", "s"), (3, 0, "user", "s")]
+    got = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()
+    assert sorted(str(r.conv_id) for r in got) == ["1", "2", "3", "None", "None"]
+    one = next(r for r in got if r.conv_id == 1)
+    message = json.loads(one.json)["messages"][0]
+    calls = message["tool_calls"]
+    assert [c["errors"] for c in calls] == [e for _, e in forms] and (one.n_calls, one.n_invalid) == (10, 7)
+    assert calls[1]["arguments"] == {"filter": {"from": None, "to": 2.5}} and calls[2]["arguments"] == {"filter": {"from": 1}, "mode": 3} and calls[2]["type"] == "function" and calls[6]["arguments"] == "not json" and calls[7]["id"] is None
+    assert message["model"] == "m-1" and json.loads(message["content"]) == {"parts": [1, "x"]}
+    two = json.loads(next(r for r in got if r.conv_id == 2).json)["messages"][0]
+    assert two == {"content": "x", "linked": False, "role": "tool", "tool_call_id": "a", "z": [2], "z z": 1}
+    for r in got:
+        assert r.json == json.dumps(json.loads(r.json), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 # pipeline ------------------------------------------------------------------
 
 
