@@ -15,7 +15,8 @@ What is learned comes from at most `per_label` labelled rows of each label
 Defined results: null and empty texts, and any text without a neighbour of
 positive cosine, score the labelled share of label 1; without labelled rows
 everything scores 0.5; a null id is held out; labels of a repeated id are
-averaged; equal similarities vote alike (k-th ties go to the lower index);
+averaged, and of its documents the one least in its term counts is learned;
+equal similarities vote alike (all that tie with the last neighbour vote);
 repeated rows score alike; very long texts are read whole; other columns are
 never inputs, whatever their names.
 """
@@ -107,6 +108,11 @@ class Model:
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** 4
             total = weight.sum(axis=1)
             voted = (weight * self.labels[near]).sum(axis=1)
+            least = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+            for i in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > k):  # what ties with the last one votes as well
+                own = np.flatnonzero(cosine[i] >= least[i])
+                weight = np.maximum(cosine[i][own], 0).astype(np.float64) ** 4
+                total[i], voted[i] = weight.sum(), (weight * self.labels[own]).sum()
             score[at : at + BATCH] = np.where(total > 1e-9, voted / np.where(total > 1e-9, total, 1), self.prior)
         return np.round(np.clip(score, 0, 1), 6)
 
@@ -154,9 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col:
                 at += b.docs
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    # ids repeated in the documents cannot make the sample grow
-    got = arrow_map(rows, scan, f"label double, terms binary, often binary, doc_id {id_type}").limit(4 * per_label).collect()
-    got.sort(key=lambda r: (r.doc_id, r.terms, r.often))
+    # one row an id, so that ids repeated in the documents cannot make the sample grow
+    found = arrow_map(rows, scan, f"label double, terms binary, often binary, doc_id {id_type}").groupBy("doc_id").agg(F.min(F.struct("terms", "often", "label")).alias("x"))
+    got = found.select("doc_id", "x.*").collect()
+    got.sort(key=lambda r: r.doc_id)
     tf = np.zeros((len(got), TERMS), np.float32)
     for i, r in enumerate(got):
         tf[i, np.frombuffer(r.terms, np.uint16)] = np.frombuffer(r.often, np.uint32)

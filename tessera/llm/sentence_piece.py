@@ -196,6 +196,7 @@ class Codec:
         self._spelt = re.compile("<0x[0-9A-F]{2}>") if self.model.unigram and self.model.byte_fallback else None
         names = sorted({p for p, _, kind in self.model.pieces if kind != NORMAL and kind != BYTE and p})
         names += ["<0x[0-9A-F]{2}>"] if any(kind == BYTE for _, _, kind in self.model.pieces) else []
+        self._name_starts = sorted({x[0] for x in names})
         self._names = re.compile("|".join(x if x.startswith("<0x[") else re.escape(x) for x in names)) if names else None
         self._bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE}
         self._units = re.compile("(?s).+" if whole else (f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if line_ends else f"{MARK}*[^{MARK}]+|{MARK}+"))
@@ -311,7 +312,7 @@ class Codec:
 
     def names_piece(self, text: str) -> bool:
         """Whether the text spells out a piece that is not a normal one."""
-        return self._names is not None and self._names.search(text) is not None
+        return any(c in text for c in self._name_starts) and self._names.search(text) is not None
 
     def verify(self, texts) -> None:
         """Raise unless the sentencepiece library gives the same ids and the same decoded texts."""

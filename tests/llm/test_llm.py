@@ -336,6 +336,33 @@ def test_quality_held_out_accuracy(spark):
     assert quality.accepted(df, lab).columns == ["doc_id", "text"]
 
 
+def test_quality_vote_brute_force(spark):
+    """Scores of the query's own path against a loop over all labelled vectors, ties and repeated ids included."""
+    rng = random.Random(16)
+    rows = [(i, sentence(rng, rng.randint(3, 40)) if i % 3 else " ".join(x.upper() for x in sentence(rng, 9).split())) for i in range(260)]
+    rows += [(1000 + i, rows[5][1]) for i in range(40)] + [(7, "another text of a known id")] * 3 + [(2000, None), (2001, "")]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(200)] + [(1000 + i, i % 2, 0) for i in range(40)] + [(9, 0, 0), (9, 1, 0), (None, 1, 0), (11, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit(df, lab, per_label=60)
+    again = quality.fit(df.repartition(2), lab.repartition(3), per_label=60)
+    assert 60 < len(model.vectors) <= 120 and np.allclose(model.vectors, again.vectors) and (model.labels == again.labels).all()
+    got = {}
+    for r in quality.score(df, model, carry=["doc_id", "text"]).collect():
+        got[r.doc_id, r.text] = r[quality.SCORE]
+    from tessera.llm.bytescan import blocks
+
+    for (i, text), score in got.items():
+        (block,) = blocks(pa.array([text], pa.string()))
+        z = model.latent(block)[0].astype(float)
+        cosines = [float(z @ v) for v in model.vectors.astype(float)]
+        least = sorted(cosines, reverse=True)[quality.NEIGHBOURS - 1]
+        votes = [(max(c, 0) ** 4, label) for c, label in zip(cosines, model.labels, strict=True) if c >= least - 1e-6]
+        total = sum(w for w, _ in votes)
+        want = sum(w * label for w, label in votes) / total if total > 1e-9 else model.prior
+        assert abs(score - want) < 2e-3, (i, text, score, want)
+
+
 # 2 -------------------------------------------------------------------------
 
 needs_model = pytest.mark.skipif(not os.path.exists(sentencepiece_model()), reason="no tokenizer files")
