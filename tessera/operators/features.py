@@ -2,20 +2,26 @@
 
 Vectors stay distributed; what comes to the driver is a d x d moment matrix,
 or, where there are fewer rows than columns, an n x n Gram matrix, both under
-a size guard.
+a size guard: more than MOST_SIDE rows of more than MOST_SIDE columns raise.
+
+Defined results: rows whose vector is null take no part and are not returned;
+an empty table gives an empty result; a constant dimension is only centred.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.pairwise import dot_products
+from tessera.session import cut_lineage
+
 #: Largest side of a matrix that the driver factorises.
 MOST_SIDE = 6000
 
@@ -50,9 +56,14 @@ class Moments:
     cov: np.ndarray  # ddof 1
 
 
+def _known(df: DataFrame, vector: str, *keep: Column) -> DataFrame:
+    return df.select(*keep, F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+
+
 def moments(df: DataFrame, vector: str) -> Moments:
     """Mean and covariance in one pass of partial sums, shifted by the first row for accuracy."""
-    first = df.select(F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL").first()
+    rows = _known(df, vector)
+    first = rows.first()
     if first is None:
         return Moments(0, np.zeros(0), np.zeros((0, 0)))
     shift = np.array(first.v)
@@ -69,7 +80,7 @@ def moments(df: DataFrame, vector: str) -> Moments:
         if n:
             yield pd.DataFrame({"part": ["n", "s", "ss"], "x": [[float(n)], s.tolist(), ss.ravel().tolist()]})
 
-    parts = df.select(F.col(vector).cast("array<double>").alias("v")).mapInPandas(partial, "part string, x array<double>")
+    parts = rows.mapInPandas(partial, "part string, x array<double>")
     # summed by element before the driver sees it: one matrix comes back, however many tasks there were
     total = parts.select("part", F.posexplode("x").alias("at", "x")).groupBy("part", "at").agg(F.sum("x").alias("x")).toPandas()
     by = {name: group.sort_values("at").x.to_numpy() for name, group in total.groupby("part")}
@@ -97,25 +108,81 @@ class Pca:
                 yield pd.DataFrame({"id": batch.id, "v": list(x @ components.T)})
 
         id_type = df.schema[key].dataType.simpleString()
-        rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        rows = _known(df, vector, F.col(key).alias("id"))
         return rows.mapInPandas(project, f"id {id_type}, v array<double>").select(F.col("id").alias(key), F.col("v").cast(f"array<{kind}>").alias("v"))
 
 
+def _column_sums(rows: DataFrame, d: int, terms: int, add) -> np.ndarray:
+    """terms x d sums over the rows' vectors; add gives a batch's share. Summed by element before the driver sees them."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((terms, d))
+        for batch in batches:
+            if len(batch):
+                total += add(batch)
+        yield pd.DataFrame({"x": [total.ravel().tolist()]})
+
+    parts = rows.mapInPandas(partial, "x array<double>").select(F.posexplode("x").alias("at", "x"))
+    found = parts.groupBy("at").agg(F.sum("x").alias("x")).toPandas().sort_values("at")
+    return found.x.to_numpy().reshape(terms, d)
+
+
+def _gram_pca(df: DataFrame, vector: str, n: int, d: int, scale: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable[[int], np.ndarray]]:
+    """(mean, scale, variances, components of a number) of fewer rows than columns: the eigenvectors of the n x n Gram matrix give those of the columns."""
+    rows = _known(df, vector)
+    mean = _column_sums(rows, d, 1, lambda b: np.stack(b.v.to_numpy()).sum(axis=0)[None, :])[0] / n
+    std = np.sqrt(_column_sums(rows, d, 1, lambda b: ((np.stack(b.v.to_numpy()) - mean) ** 2).sum(axis=0)[None, :])[0] / n) if scale else np.ones(d)
+    std = np.where(std > 0, std, 1.0)
+    shared = df.sparkSession.sparkContext.broadcast((mean, std))
+
+    def centred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, s = shared.value
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"v": list((np.stack(batch.v.to_numpy()) - m) / s)})
+
+    numbered = cut_lineage(rows.mapInPandas(centred, "v array<double>").withColumn("id", F.monotonically_increasing_id()))
+    at = {r.id: i for i, r in enumerate(numbered.select("id").orderBy("id").collect())}  # n rows, under the guard
+    gram = np.zeros((n, n))
+    for part in dot_products(numbered, "id", "v").toLocalIterator():
+        i, j = [at[x] for x in part.i], [at[x] for x in part.j]
+        block = np.array(part.x).reshape(len(i), len(j))
+        gram[np.ix_(i, j)] = block
+        gram[np.ix_(j, i)] = block.T
+    values, left = np.linalg.eigh(gram)
+    values, left = np.maximum(values[::-1], 0), left[:, ::-1]
+
+    def components(k: int) -> np.ndarray:
+        weights = left[:, :k] / np.sqrt(np.where(values[:k] > 0, values[:k], 1))
+        return _column_sums(numbered, d, k, lambda b: weights[[at[x] for x in b.id]].T @ np.stack(b.v.to_numpy()))
+
+    return mean, std, values / max(n - 1, 1), components
+
+
 def fit_pca(df: DataFrame, vector: str, k: int | None = None, target: float = 0.90, cap_mode: str = "replace", scale: bool = True) -> Pca:
     """Components that explain target of the variance; k replaces that number, or only caps it (cap_mode 'min')."""
-    m = moments(df, vector)
-    std = np.sqrt(np.diag(m.cov) * (m.n - 1) / max(m.n, 1)) if scale else np.ones(len(m.mean))
-    std = np.where(std > 0, std, 1.0)
-    values, columns = np.linalg.eigh(m.cov / np.outer(std, std))
-    values, columns = np.maximum(values[::-1], 0), columns[:, ::-1]
+    rows = _known(df, vector)
+    first = rows.first()
+    if first is None:
+        return Pca(np.zeros(0), np.zeros(0), np.zeros((0, 0)), np.zeros(0), np.zeros(0))
+    n, d = rows.count(), len(first.v)
+    if n < d and n <= MOST_SIDE:
+        mean, std, values, components = _gram_pca(df, vector, n, d, scale)
+    else:
+        m = moments(df, vector)
+        mean, std = m.mean, np.sqrt(np.diag(m.cov) * (m.n - 1) / max(m.n, 1)) if scale else np.ones(len(m.mean))
+        std = np.where(std > 0, std, 1.0)
+        values, columns = np.linalg.eigh(m.cov / np.outer(std, std))
+        values, columns = np.maximum(values[::-1], 0), columns[:, ::-1]
+        components = lambda count: columns[:, :count].T
     total = values.sum()
     ratio = values / total if total > 0 else np.zeros_like(values)
     enough = min(int(np.searchsorted(np.cumsum(ratio), target - 1e-12)) + 1, len(values))
     count = enough if k is None else k if cap_mode == "replace" else min(k, enough)
-    count = max(1, min(count, len(values), max(m.n, 1)))
-    rows = columns[:, :count].T
-    signs = np.sign(rows[np.arange(count), np.abs(rows).argmax(axis=1)])
-    return Pca(m.mean, std, rows * np.where(signs == 0, 1, signs)[:, None], values[:count], ratio)
+    count = max(1, min(count, len(values), max(n, 1)))
+    chosen = components(count)
+    signs = np.sign(chosen[np.arange(count), np.abs(chosen).argmax(axis=1)])
+    return Pca(mean, std, chosen * np.where(signs == 0, 1, signs)[:, None], values[:count], ratio)
 
 
 def chi2_quantile(p: float, df: int) -> float:
@@ -162,6 +229,8 @@ def _lower_gamma(a: float, x: float) -> float:
 def mahalanobis(df: DataFrame, key: str, vector: str, alpha: float) -> DataFrame:
     """(key, d2, threshold, keep): squared Mahalanobis distance against the chi-square quantile 1 - alpha."""
     m = moments(df, vector)
+    if not m.n:
+        return df.limit(0).select(key, F.lit(0.0).alias("d2"), F.lit(0.0).alias("threshold"), F.lit(True).alias("keep"))
     limit = chi2_quantile(1 - alpha, len(m.mean))
     shared = df.sparkSession.sparkContext.broadcast((m.mean, np.linalg.pinv(m.cov)))
 
@@ -172,7 +241,7 @@ def mahalanobis(df: DataFrame, key: str, vector: str, alpha: float) -> DataFrame
             yield pd.DataFrame({"id": batch.id, "d2": np.einsum("ij,jk,ik->i", x, inverse, x)})
 
     id_type = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = _known(df, vector, F.col(key).alias("id"))
     scored = rows.mapInPandas(score, f"id {id_type}, d2 double")
     return scored.select(F.col("id").alias(key), "d2", F.lit(limit).alias("threshold"), (F.col("d2") < limit).alias("keep"))
 
@@ -199,7 +268,8 @@ def outlier_counts(df: DataFrame, key: str, vector: str, alphas: tuple[float, ..
     """(alpha, removed, percent) after projection without scaling."""
     reduced = fit_pca(df, vector, n_components, cap_mode="min", target=1.0, scale=False).transform(df, key, vector)
     d2 = mahalanobis(reduced, key, "v", 0.5).select("d2")
-    size = len(reduced.first().v)
+    one = reduced.first()
+    size = len(one.v) if one else 1
     limits = F.explode(F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(chi2_quantile(1 - a, size)).alias("limit")) for a in alphas))).alias("x")
     removed = F.sum(F.when(F.col("d2") < F.col("limit"), 0).otherwise(1))
     return d2.select("d2", limits).select("d2", "x.alpha", "x.limit").groupBy("alpha").agg(removed.cast("bigint").alias("removed"), F.round(100.0 * removed / F.count("*"), 6).alias("percent"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.pairwise import both_directions
+from tessera.operators.pairwise import both_directions, nearest
 
 
 def _scalar(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -84,6 +84,17 @@ def modularity(edges: DataFrame, labels: DataFrame, weight: str = "w") -> DataFr
     return sums.crossJoin(total).agg(F.coalesce(F.sum(e - a * a), F.lit(0.0)).alias("modularity"))
 
 
+def neighbour_graph(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(i, j, w) with i < j: each row joined to its k nearest, 1 where both are so joined, else 0.5."""
+    near = nearest(df, key, vector, "euclidean", k)
+    return near.groupBy(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).agg((F.count("*") / 2).alias("w"))
+
+
+def similarity_neighbours(pairs: DataFrame, weight: str, k: int, diagonal: float = 1.0) -> DataFrame:
+    """The neighbour graph of the similarity matrix' rows taken as vectors."""
+    return neighbour_graph(rows_as_features(pairs, weight, diagonal), "id", "v", k)
+
+
 def rows_as_features(pairs: DataFrame, weight: str, diagonal: float) -> DataFrame:
     """(id, v): each row of the similarity matrix as a vector in id order (the legacy neighbour graph works on these)."""
     full = both_directions(pairs.select("i", "j", F.col(weight).alias("d")))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.sequences import shingles
+from tessera.session import ship
 
 MODULUS = 2**32 - 1
 
@@ -29,22 +33,39 @@ def shifted_intervals(intervals: Column, shift: int = 128) -> Column:
     return F.transform(intervals, lambda x: x + shift)
 
 
-def hashed(x: Column, a: Column, b: Column) -> Column:
-    """The scheme's hash; products wrap at 2**64 and are taken in exact decimals."""
-    wide = a.cast("decimal(20,0)") * x.cast("decimal(17,0)") + b.cast("decimal(20,0)")
-    wrapped = F.pmod(wide, F.lit("18446744073709551616").cast("decimal(20,0)"))
-    return F.pmod(wrapped, F.lit(MODULUS).cast("decimal(20,0)")).cast("long")
-
-
-def coefficient_table(spark: SparkSession, k: int, seed: int) -> DataFrame:
-    rows = [(i, a, b) for i, (a, b) in enumerate(coefficients(k, seed))]
-    return spark.createDataFrame(rows, "slot int, a long, b long")
-
-
 def signatures(items: DataFrame, key: str, item: str, k: int = 100, seed: int = 42) -> DataFrame:
-    """(key, slot, value): least hash of each key's items under each of k functions; k is the broadcast's size."""
-    functions = F.broadcast(coefficient_table(items.sparkSession, k, seed))
-    return items.select(key, item).distinct().crossJoin(functions).groupBy(key, "slot").agg(F.min(hashed(F.col(item), F.col("a"), F.col("b"))).alias("value"))
+    """(key, slot, value): least hash of each key's items under each of k functions; a null item has none.
+
+    A kernel takes the least over a batch's rows of a key, 64-bit products wrap
+    as the scheme says; batches' results meet in a partial aggregation.
+    """
+    ship(items.sparkSession)
+    a, b = (np.array(x, np.uint64) for x in zip(*coefficients(k, seed), strict=True))
+    key_type = items.schema[key].dataType.simpleString()
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(0).dictionary_encode(null_encoding="encode")
+            at = codes.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            x = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[order]
+            own, first = np.unique(at[order], return_index=True)
+            best = np.column_stack([np.minimum.reduceat((m * x + c) % np.uint64(MODULUS), first) for m, c in zip(a, b, strict=True)]).astype(np.int64)
+            sizes = np.arange(0, best.size + 1, k, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(own)), pa.ListArray.from_arrays(sizes, best.ravel())], ["key", "values"])
+
+    rows = items.select(F.col(key).alias("key"), F.col(item).cast("bigint").alias("item")).where("item IS NOT NULL").distinct()
+    parts = rows.mapInArrow(least, f"key {key_type}, values array<bigint>").select(F.col("key").alias(key), F.posexplode("values").alias("slot", "value"))
+    return parts.groupBy(key, "slot").agg(F.min("value").alias("value"))
+
+
+def with_empty(sig: DataFrame, keys: DataFrame, key: str, k: int) -> DataFrame:
+    """The signatures, and zeros in all slots for keys without an item."""
+    slots = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot")
+    empty = keys.select(key).distinct().join(sig.select(key).distinct(), key, "left_anti")
+    return sig.unionByName(empty.select(key, slots, F.lit(0).cast("bigint").alias("value")))
 
 
 def similarities(sig: DataFrame, key: str, k: int) -> DataFrame:

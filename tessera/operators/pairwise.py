@@ -5,6 +5,9 @@ most 2 * CHUNK vectors, whose distances are one matrix product. What leaves a
 group depends on what is asked for: pairs (all, or those within a distance),
 each row's nearest neighbours, or each row's sums by label - the latter two
 never make the quadratic pair table.
+
+Defined results: a row whose vector is null, empty or holds a null or a number
+that is not finite is in no pair; a zero vector has cosine distance 1 to all.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 CHUNK = 1024
 EPS = 1e-10
 
@@ -43,7 +48,14 @@ def kl_divergence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"cosine": cosine_distance, "euclidean": euclidean_distance, "frobenius": euclidean_distance, "kl": kl_divergence}
 
 
+def _usable(vector: Column) -> Column:
+    fine = F.forall(vector.cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(fine & (F.size(vector) > 0), F.lit(False))
+
+
 def _dealt(df: DataFrame, key: str, vector: Column, keep: list[str], chunk: int) -> DataFrame:
+    ship(df.sparkSession)
+    df = df.where(_usable(vector))
     n = max(1, -(-df.count() // chunk))
     own = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.least(F.col("_own"), j).alias("ci"), F.greatest(F.col("_own"), j).alias("cj")))
@@ -132,15 +144,33 @@ def label_sums(df: DataFrame, key: str, vector: str | Column, label: str, metric
     return parts.groupBy("id", "label", "other").agg(F.sum("total").alias("total"))
 
 
-def sparse_kl(cells: DataFrame, key: str, cell: list[str], value: str) -> DataFrame:
-    """(i, j, d): KL distance of sparse distributions. Cells absent on both sides add nothing; a missing side counts EPS."""
-    raised = cells.select(F.col(key).alias("id"), *cell, F.greatest(F.col(value), F.lit(EPS)).alias("p"))
-    alone = raised.groupBy("id").agg(F.sum((F.col("p") - EPS) * (F.log("p") - F.log(F.lit(EPS)))).alias("alone"))
-    x = raised.select(F.col("id").alias("i"), *cell, F.col("p").alias("pi"))
-    y = raised.select(F.col("id").alias("j"), *cell, F.col("p").alias("pj"))
-    term = lambda p, q: (p - q) * (F.log(p) - F.log(q))
-    e = F.lit(EPS)
-    shared = x.join(y, cell).where("i < j").groupBy("i", "j").agg(F.sum(term(F.col("pi"), F.col("pj")) - term(F.col("pi"), e) - term(F.col("pj"), e)).alias("shared"))
-    ai, aj = alone.select(F.col("id").alias("i"), F.col("alone").alias("ai")), alone.select(F.col("id").alias("j"), F.col("alone").alias("aj"))
-    every = ai.join(aj, F.col("i") < F.col("j"))
-    return every.join(shared, ["i", "j"], "left").select("i", "j", (0.5 * (F.col("ai") + F.col("aj") + F.coalesce("shared", F.lit(0.0)))).alias("d"))
+def dot_products(df: DataFrame, key: str, vector: str, chunk: int = CHUNK) -> DataFrame:
+    """(i, j, x): for every pair of chunks their ids and the products of all their vectors, row by row."""
+
+    def kernel(group: pd.DataFrame) -> pd.DataFrame:
+        a, b, _ = _sides(group)
+        if not len(a) or not len(b):
+            return pd.DataFrame({"i": [], "j": [], "x": []})
+        return pd.DataFrame({"i": [a.id.tolist()], "j": [b.id.tolist()], "x": [(np.stack(a.v.to_numpy()) @ np.stack(b.v.to_numpy()).T).ravel().tolist()]})
+
+    id_type = df.schema[key].dataType.simpleString()
+    return _dealt(df, key, F.col(vector), [], chunk).applyInPandas(kernel, f"i array<{id_type}>, j array<{id_type}>, x array<double>")
+
+
+def farthest(df: DataFrame, key: str, vector: str, chunk: int = CHUNK):
+    """(d, i, j) of the pair farthest apart, of equal ones that of the smallest ids; None for fewer than two rows. A block passes on one pair."""
+
+    def kernel(group: pd.DataFrame) -> pd.DataFrame:
+        a, b, same = _sides(group)
+        if not len(a) or not len(b) or (same and len(a) < 2):
+            return pd.DataFrame({"d": [], "i": [], "j": []})
+        d = euclidean_distance(np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()))
+        x, y = np.nonzero(np.round(d, 9) == np.round(d, 9).max())
+        i, j = a.id.to_numpy()[x], b.id.to_numpy()[y]
+        low, high = np.minimum(i, j), np.maximum(i, j)
+        at = np.lexsort((high, low))[0]
+        return pd.DataFrame({"d": [round(float(d.max()), 9)], "i": [low[at]], "j": [high[at]]})
+
+    id_type = df.schema[key].dataType.simpleString()
+    best = _dealt(df, key, F.col(vector), [], chunk).applyInPandas(kernel, f"d double, i {id_type}, j {id_type}")
+    return best.orderBy(F.col("d").desc(), "i", "j").first()

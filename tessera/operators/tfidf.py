@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_text
 from tessera.operators.relational import top_per_group
+from tessera.session import cut_lineage
 
 #: Own list of common words; both queries and their oracles use it.
 STOP_WORDS = (
@@ -65,17 +66,23 @@ def weights(counts: DataFrame, id_col: str, sizes: DataFrame, scope: Sequence[st
     df = df.where((F.col("df") >= min_df) & (F.col("df") <= most * F.col("n_docs")))
     idf = df.withColumn("idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).select(*scope, "term", "idf")
     raw = counts.join(idf, [*scope, "term"]).withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(*scope, id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, [*scope, id_col]).withColumn("weight", F.col("raw") / F.col("norm"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*scope, id_col)))
+    return raw.withColumn("weight", F.col("raw") / norm)
 
 
 def distinctive_terms(docs: DataFrame, id_col: str, text_col: str, cluster: str, k: int = 20, ngram: tuple[int, int] = (1, 2), min_df: int = 1, max_df: float = 0.8, scoring: str = "distinctiveness") -> DataFrame:
-    """(cluster, rank, term, score): cluster mean minus global mean of the weights, or the cluster mean alone."""
-    counts = term_counts(docs, id_col, F.col(text_col), ngram, keep=[cluster])
+    """(cluster, rank, term, score): cluster mean minus global mean of the weights, or the cluster mean alone.
+
+    Where stop words and bounds leave no term at all, the fit is made without them.
+    """
     n_docs = docs.agg(F.count("*").alias("n_docs"))
+    counts = cut_lineage(term_counts(docs, id_col, F.col(text_col), ngram, keep=[cluster]))
     weighted = weights(counts, id_col, n_docs, min_df=min_df, max_df=max_df)
     sizes = docs.groupBy(cluster).agg(F.count("*").alias("cluster_size"))
-    own = weighted.groupBy(cluster, "term").agg(F.sum("weight").alias("own"))
+    own = cut_lineage(weighted.groupBy(cluster, "term").agg(F.sum("weight").alias("own")))
+    if own.isEmpty():  # no term is left: fit once more on every word, without bounds
+        counts = cut_lineage(term_counts(docs, id_col, F.col(text_col), ngram, keep=[cluster], stop_words=()))
+        own = cut_lineage(weights(counts, id_col, n_docs).groupBy(cluster, "term").agg(F.sum("weight").alias("own")))
     whole = own.groupBy("term").agg(F.sum("own").alias("whole"))
     means = own.join(F.broadcast(sizes), cluster).join(whole, "term").crossJoin(F.broadcast(n_docs))
     score = F.col("own") / F.col("cluster_size") - (F.col("whole") / F.col("n_docs") if scoring == "distinctiveness" else F.lit(0.0))

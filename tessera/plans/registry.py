@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tessera.plans import text_queries, vector_queries  # noqa: F401
+    from tessera.plans import source_queries, text_queries, vector_queries  # noqa: F401

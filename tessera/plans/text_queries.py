@@ -168,7 +168,7 @@ def projection(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumns({"first_value": F.element_at("embedding", 1), "size": F.size("embedding").cast("long")}).drop("embedding")
 
 
-@query("seeded_sample")
+@query("seeded_sample", "SELECT doc_id, lang FROM documents ORDER BY md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id LIMIT 100")
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     """A display sample of 100 documents: a sampling operator, the same at every run."""
     return R.seeded_sample(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 100, seed=7)
@@ -375,7 +375,7 @@ _JACCARD = (
 
 
 def _source_terms(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("source", F.explode(X.tokens(F.col("text"))).alias("term"))
+    docs = table(spark, d, "documents").select("source", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
     return docs.distinct()
 
 

@@ -16,6 +16,7 @@ from tessera.operators import validate as V
 from tessera.operators.cluster import core as C
 from tessera.plans import pipelines as L
 from tessera.plans.registry import query
+from tessera.session import cut_lineage
 from tessera.sources.tables import table
 
 #: Event types as tokens.
@@ -135,13 +136,15 @@ _COEFFICIENTS = ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in
 _MINHASH = (
     _SHINGLES
     + f""", i AS (SELECT DISTINCT user_id, item FROM s WHERE item IS NOT NULL), c(slot, a, b) AS (VALUES {_COEFFICIENTS}),
-    g AS (SELECT user_id, slot, CAST(min(((a * item + b) % 18446744073709551616::HUGEINT) % 4294967295) AS BIGINT) AS value FROM i, c GROUP BY user_id, slot)"""
+    g AS (SELECT user_id, slot, CAST(min(((a * item + b) % 18446744073709551616::HUGEINT) % 4294967295) AS BIGINT) AS value FROM i, c GROUP BY user_id, slot
+          UNION ALL SELECT user_id, slot, 0 FROM (SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM i)), c)"""
 )
 
 
 @query("minhash_sig", _MINHASH + " SELECT user_id, slot, value FROM g")
 def minhash_sig(spark: SparkSession, d: str) -> DataFrame:
-    return M.signatures(M.sequence_shingles(_event_lists(spark, d), "user_id", F.col("tokens"), 3), "user_id", "item", _K)
+    lists = _event_lists(spark, d)
+    return M.with_empty(M.signatures(M.sequence_shingles(lists, "user_id", F.col("tokens"), 3), "user_id", "item", _K), lists, "user_id", _K)
 
 
 @query("minhash_sim", _MINHASH + f" SELECT x.user_id AS i, y.user_id AS j, round(count(*) / {_K}, 6) AS similarity FROM g x JOIN g y ON x.slot = y.slot AND x.value = y.value AND x.user_id < y.user_id GROUP BY ALL")
@@ -177,7 +180,8 @@ def interval_shingles(spark: SparkSession, d: str) -> DataFrame:
 )
 def kl_pairs(spark: SparkSession, d: str) -> DataFrame:
     cells = Q.globally_normalised(Q.transitions(_events(spark, d), "user_id"), "user_id")
-    return P.sparse_kl(cells, "user_id", ["a", "b"], "p").withColumn("d", F.round("d", 6))
+    dense = Q.dense_matrix(cells, "user_id", len(TOKENS), "p")
+    return P.pairs(dense, "user_id", "matrix", "kl").withColumn("d", F.round("d", 6) + 0.0)
 
 
 def _embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -260,7 +264,7 @@ def top_similar(spark: SparkSession, d: str) -> DataFrame:
     return G.top_similar(edges, "w", 5).withColumn("weight", F.round("weight", 6))
 
 
-@query("edges_within_mean", _PAIRS + " SELECT i, j, round(d, 6) AS d FROM p WHERE d <= 0.7 * (SELECT avg(d) FROM p WHERE d > 0)")
+@query("edges_within_mean", _PAIRS.replace(", p AS (", ", p AS MATERIALIZED (") + ", m AS MATERIALIZED (SELECT 0.7 * avg(d) AS most FROM p WHERE d > 0) SELECT i, j, round(d, 6) AS d FROM p, m WHERE d <= most")
 def edges_within_mean(spark: SparkSession, d: str) -> DataFrame:
     return G.within_mean(P.pairs(_embeddings(spark, d), "vec_id", "v", "euclidean")).withColumn("d", F.round("d", 6))
 
@@ -339,21 +343,8 @@ def iqr_mask(spark: SparkSession, d: str) -> DataFrame:
     return E.iqr_mask(_embeddings(spark, d), "vec_id", "v")
 
 
-@query(
-    "mahalanobis_mask",
-    _V
-    + """, y AS (SELECT vec_id, x[1] AS a, x[2] AS b FROM v), m AS (SELECT avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c FROM y),
-    s AS (SELECT vec_id, ((a - ma) ** 2 * vb - 2 * (a - ma) * (b - mb) * c + (b - mb) ** 2 * va) / (va * vb - c * c) AS d2 FROM y, m)
-    SELECT vec_id, round(d2, 6) AS d2, round(-2 * ln(0.01), 6) AS threshold, d2 < -2 * ln(0.01) AS keep FROM s""",
-)
+@query("mahalanobis_mask")
 def mahalanobis_mask(spark: SparkSession, d: str) -> DataFrame:
-    """On the first two dimensions, where the quantile and the inverse have closed forms."""
-    e = _embeddings(spark, d).withColumn("v", F.slice("v", 1, 2))
-    return E.mahalanobis(e, "vec_id", "v", 0.01).withColumns({"d2": F.round("d2", 6), "threshold": F.round("threshold", 6)})
-
-
-@query("mahalanobis_mask_whole")
-def mahalanobis_mask_whole(spark: SparkSession, d: str) -> DataFrame:
     """On all dimensions."""
     return E.mahalanobis(_embeddings(spark, d), "vec_id", "v", 0.01).withColumns({"d2": F.round("d2", 6), "threshold": F.round("threshold", 6)})
 
@@ -457,7 +448,7 @@ def clustering_comparison(spark: SparkSession, d: str) -> DataFrame:
 @query("kmeans_sweep")
 def kmeans_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Scores by number of clusters, on one reduced feature frame."""
-    e = E.preprocess(_embeddings(spark, d), "vec_id", "v", n_components=8).cache()
+    e = cut_lineage(E.preprocess(_embeddings(spark, d), "vec_id", "v", n_components=8))
     return V.sweep(e, "vec_id", "v", lambda k: C.run_clustering("kmeans", e, "vec_id", "v", k=k), (*range(2, 11), 12, 15, 20, 25))
 
 
@@ -480,6 +471,25 @@ def tuning_scores(spark: SparkSession, d: str) -> DataFrame:
     return L.tune(_embeddings(spark, d), "vec_id", "v")
 
 
+@query("dbscan_tuning")
+def dbscan_tuning(spark: SparkSession, d: str) -> DataFrame:
+    """Silhouettes by eps; -1 where there is noise or one cluster."""
+    return V.tune_density(_embeddings(spark, d), "vec_id", "v", (0.6, 0.8, 1.0, 1.15, 1.3, 1.5), min_samples=3).withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query("hierarchical_tuning")
+def hierarchical_tuning(spark: SparkSession, d: str) -> DataFrame:
+    """Scores by number of clusters, of one merge table."""
+    return V.tune_hierarchical(_embeddings(spark, d), "vec_id", "v", range(2, 11))
+
+
+@query("similarity_neighbours")
+def similarity_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The neighbour graph of Gaussian similarity rows."""
+    weights = G.gaussian(P.pairs(_embeddings(spark, d), "vec_id", "v", "euclidean"))
+    return G.similarity_neighbours(cut_lineage(weights), "w", 10)
+
+
 @query("graph_scores")
 def graph_scores(spark: SparkSession, d: str) -> DataFrame:
     """Spectral clusterings of the users' transition matrices under the KL distance."""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -21,20 +22,30 @@ def get_session(app: str = "tessera", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
     }
+    # checkpoints that nothing refers to any more go with their DataFrame
+    defaults["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one named by spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder for checkpoints: the one named by spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests) gets a folder of its own that
+    goes when Python ends; on a cluster it raises, since executors share no
+    local folder.
+    """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = os.path.join(os.environ.get("TESSERA_CHECKPOINT_DIR", "/tmp/tessera-checkpoints"))
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
     return folder
 
@@ -54,7 +65,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera.zip"  # on the driver only; Spark serves it from there
+    folder = tempfile.mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "tessera.zip"  # on the driver only; Spark serves it from there
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for source in sorted(package.rglob("*.py")):
             out.write(source, str(source.relative_to(package.parent)))

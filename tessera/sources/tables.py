@@ -55,9 +55,9 @@ def cleaned_games(df: DataFrame) -> DataFrame:
 
 
 def unquoted_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every cell as text without one pair of outer quotes."""
-    df = spark.read.csv(path, header=True, quote="")
-    return df.select(*(strip_outer_quotes(F.col(f"`{c}`")).alias(c.strip('"')) for c in df.columns))
+    """Every cell as text, read with its quoting, without one more pair of outer quotes."""
+    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    return df.select(*(strip_outer_quotes(F.col(f"`{c}`")).alias(c) for c in df.columns))
 
 
 def builder_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -89,9 +89,10 @@ def array_files(spark: SparkSession, folder: str, suffix: str, kind: str = "doub
     return good, rows.where("error IS NOT NULL").select("path", "error")
 
 
-def feature_dataset(spark: SparkSession, folder: str, csv: str) -> tuple[DataFrame, DataFrame]:
-    """(matrices, metadata)."""
-    return array_files(spark, folder, "_traj", "int")[0], metadata_csv(spark, csv)
+def feature_dataset(spark: SparkSession, folder: str, csv: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matrices, metadata, failures)."""
+    matrices, failures = array_files(spark, folder, "_traj", "int")
+    return matrices, metadata_csv(spark, csv), failures
 
 
 def term_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -177,7 +177,7 @@ def test_pca_and_mahalanobis(frame, points):
 def test_mahalanobis_query_on_all_dimensions(spark):
     from tessera.plans import vector_queries
 
-    rows = vector_queries.mahalanobis_mask_whole(spark, "/root/testdata/sf0.001").orderBy("vec_id").collect()
+    rows = vector_queries.mahalanobis_mask(spark, "/root/testdata/sf0.001").orderBy("vec_id").collect()
     x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()], dtype=float)
     off = x - x.mean(axis=0)
     d2 = np.einsum("ij,jk,ik->i", off, np.linalg.inv(np.cov(x.T)), off)
@@ -412,3 +412,162 @@ def test_published_jaccard_sums(spark):
         found[name] = sums
     assert {f"{name}.json" for name in found} == set(want)
     assert all(abs(found[key.removesuffix(".json")] - value) < 1e-9 for key, value in want.items())
+
+
+def test_pca_of_wide_rows(spark):
+    """Fewer rows than columns, as flattened matrices have: equal to NumPy's up to sign."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20, 16_641)) * (rng.random(16_641) < 0.02)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(99, None)], "id long, v array<double>")
+    std = x.std(axis=0)
+    z = (x - x.mean(axis=0)) / np.where(std > 0, std, 1)
+    u, sing, vt = np.linalg.svd(z, full_matrices=False)
+    pca = E.fit_pca(df, "v")
+    assert np.allclose(pca.variance, (sing**2 / 19)[: len(pca.variance)]) and np.isclose(pca.ratio.sum(), 1)
+    cumulative = np.cumsum(sing**2) / (sing**2).sum()
+    assert len(pca.components) == int(np.argmax(cumulative >= 0.9)) + 1
+    assert np.allclose(np.abs(pca.components @ vt[: len(pca.components)].T), np.eye(len(pca.components)), atol=1e-8)
+    got = {r.id: r.v for r in pca.transform(df, "id", "v").collect()}
+    assert set(got) == set(range(20)) and np.allclose(np.abs(np.array([got[i] for i in range(20)])), np.abs((u * sing)[:, : len(pca.components)]))
+    reduced = E.preprocess(df, "id", "v", 3, alpha=0.001)
+    assert reduced.count() == 20 and len(reduced.first().v) == 3
+
+
+def test_features_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "id long, v array<double>")
+    frames = [E.preprocess(empty, "id", "v"), E.mahalanobis(empty, "id", "v", 0.01), E.outlier_counts(empty, "id", "v"), P.pairs(empty, "id", "v", "cosine"), P.nearest(empty, "id", "v", "euclidean", 3), E.iqr_mask(empty, "id", "v")]
+    assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_pca_queries_equal_numpy(spark):
+    """The registered queries' own rows."""
+    from tessera.plans.vector_queries import mahalanobis_mask, outlier_counts, pca_scatter, pca_variance, preprocess
+
+    d = "/root/testdata/sf0.001"
+    rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    ids = sorted(rows)
+    x = np.stack([rows[i] for i in ids])
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    values, vectors = np.linalg.eigh(np.cov(z.T))
+    values, vectors = values[::-1], vectors[:, ::-1]
+    ratio = values / values.sum()
+    got = pca_variance(spark, d).collect()
+    enough = int(np.argmax(np.cumsum(ratio) >= 0.9)) + 1
+    assert np.allclose([r.ratio for r in got], ratio, atol=1e-6) and sum(r.kept for r in got) == enough and np.allclose([r.cumulative for r in got], np.cumsum(ratio), atol=1e-5)
+    scores = z @ vectors
+    found = {r.vec_id: r for r in pca_scatter(spark, d).collect()}
+    for k in range(3):
+        own = np.array([found[i][f"pc{k + 1}"] for i in ids])
+        assert np.allclose(np.abs(own), np.abs(scores[:, k]), atol=1e-5) and abs(abs(np.corrcoef(own, scores[:, k])[0, 1]) - 1) < 1e-9
+
+    def distances(y):
+        c = y - y.mean(axis=0)
+        return np.einsum("ij,jk,ik->i", c, np.linalg.pinv(np.cov(y.T)), c)
+
+    keep = distances(scores[:, :enough]) < E.chi2_quantile(0.999, enough)
+    got = {r.vec_id: r for r in preprocess(spark, d).collect()}
+    assert set(got) == {i for i, k in zip(ids, keep, strict=True) if k} and all(r.n_components == enough and abs(r.squares - (scores[ids.index(i), :enough] ** 2).sum()) < 1e-4 for i, r in got.items())
+    centred = x - x.mean(axis=0)
+    plain = centred @ np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :30]
+    d2 = distances(plain)
+    for r in outlier_counts(spark, d).collect():
+        assert r.removed == int((d2 >= E.chi2_quantile(1 - r.alpha, 30)).sum())
+    whole = distances(x)
+    for r in mahalanobis_mask(spark, d).collect():
+        assert abs(r.d2 - whole[ids.index(r.vec_id)]) < 1e-4
+
+
+def test_unusable_vectors_are_in_no_pair(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [float("inf"), 1.0]), (5, []), (6, [0.0, 1.0]), (7, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    for metric in ("cosine", "euclidean", "kl"):
+        assert sorted((r.i, r.j) for r in P.pairs(df, "id", "v", metric).collect()) == [(0, 6), (0, 7), (6, 7)]
+    assert {r.src for r in P.nearest(df, "id", "v", "cosine", 1).collect()} == {0, 6, 7}
+
+
+def test_noise_is_no_cluster(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in rng.normal(size=2)], -1 if i < 5 else 0) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    assert V.calinski_harabasz(df, "id", "v", "label").first()[0] is None
+    assert V.scores(df, "id", "v", "label").first().n_clusters == 1
+    three = df.withColumn("label", F.when(F.col("id") < 5, -1).otherwise(F.col("id") % 2))
+    assert V.calinski_harabasz(three, "id", "v", "label").first()[0] is not None
+
+
+def test_minhash_of_empty_sets(spark):
+    items = spark.createDataFrame([(1, 5), (1, 9), (2, None)], "key long, item long")
+    keys = spark.createDataFrame([(1,), (2,), (3,)], "key long")
+    sig = M.with_empty(M.signatures(items, "key", "item", 4), keys, "key", 4).collect()
+    values = {k: [r.value for r in sorted(sig, key=lambda r: r.slot) if r.key == k] for k in (1, 2, 3)}
+    assert values[2] == values[3] == [0] * 4
+    assert values[1] == [min((a * x + b) % 2**64 % M.MODULUS for x in (5, 9)) for a, b in M.coefficients(4)]
+
+
+def test_tfidf_falls_back_to_all_words(spark):
+    df = spark.createDataFrame([(1, "the and of", "x"), (2, "the the", "y")], "id long, text string, c string")
+    got = {(r.c, r.term) for r in X.distinctive_terms(df, "id", "text", "c", ngram=(1, 1)).collect()}
+    assert got == {("x", "the"), ("x", "and"), ("x", "of"), ("y", "the")}
+
+
+def divisive_reference(x, k):
+    """The definition: split the cluster of the largest diameter by 2-means from its two farthest points."""
+    clusters = [list(range(len(x)))]
+    spread = lambda c: np.linalg.norm(x[c][:, None] - x[c][None], axis=2)
+    while len(clusters) < k:
+        at = int(np.argmax([spread(c).max() for c in clusters]))
+        own = clusters.pop(at)
+        a, b = np.unravel_index(np.argmax(spread(own)), (len(own), len(own)))
+        p = x[own]
+        c, before = [p[a], p[b]], None
+        for _ in range(10):
+            side = np.linalg.norm(p - c[0], axis=1) > np.linalg.norm(p - c[1], axis=1)
+            if before is not None and (side == before).all():
+                break
+            before = side
+            c = [p[side == s].mean(axis=0) if (side == s).any() else c[s] for s in (0, 1)]
+        clusters += [[i for i, s in zip(own, side, strict=True) if s == want] for want in (False, True)]
+    return {frozenset(c) for c in clusters}
+
+
+def test_divisive_equals_definition(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(25, 3)) * s + m for s, m in ((1, 0), (0.4, 6), (2, -7))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    got = {}
+    for r in C.run_clustering("divisive", df, "id", "v", k=5).collect():
+        got.setdefault(r.label, set()).add(r.id)
+    assert {frozenset(c) for c in got.values()} == divisive_reference(x, 5)
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4)], "id long, v array<double>")
+    assert {r.label for r in C.run_clustering("divisive", same, "id", "v", k=3).collect()} == {0}
+
+
+def test_tuning_loops(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(12, 2)) * 0.2 + m for m in (0, 5, 10)])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    density = {r.eps: r.silhouette for r in V.tune_density(df, "id", "v", (0.01, 1.5, 50.0), min_samples=2).collect()}
+    assert density[0.01] == density[50.0] == -1 and density[1.5] > 0.8
+    cuts = {r.k: r.silhouette for r in V.tune_hierarchical(df, "id", "v", (2, 3, 4)).collect()}
+    assert max(cuts, key=cuts.get) == 3 and abs(cuts[3] - density[1.5]) < 1e-9
+
+
+def test_similarity_neighbours(spark):
+    rng = np.random.default_rng(3)
+    s = rng.random((12, 12))
+    s = (s + s.T) / 2
+    np.fill_diagonal(s, 1)
+    pairs = spark.createDataFrame([(i, j, float(s[i, j])) for i in range(12) for j in range(i + 1, 12)], "i long, j long, w double")
+    d = np.linalg.norm(s[:, None] - s[None], axis=2) + np.diag([np.inf] * 12)
+    a = np.zeros((12, 12))
+    for i in range(12):
+        a[i, np.argsort(d[i])[:3]] = 1
+    a = (a + a.T) / 2
+    got = {(r.i, r.j): r.w for r in G.similarity_neighbours(pairs, "w", 3).collect()}
+    assert got == {(i, j): a[i, j] for i in range(12) for j in range(i + 1, 12) if a[i, j]}
+
+
+def test_quoted_cells_stay_whole(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('id,title\n1,"""a, b"""\n2,"c, d"\n3,"e ""f"" g"\n')
+    got = {r.id: r.title for r in tables.unquoted_csv(spark, str(tmp_path / "x.csv")).collect()}
+    assert got == {"1": "a, b", "2": "c, d", "3": 'e "f" g'}
