@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.pairwise import both_directions, nearest
+from tessera.session import cut_lineage
 
 
 def _scalar(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -15,6 +17,7 @@ def _scalar(df: DataFrame, value: Column, name: str) -> DataFrame:
 
 def gaussian(pairs: DataFrame, factor: float = 1.0) -> DataFrame:
     """(i, j, d, w): exp(-d**2 / (2 sigma**2)), sigma = factor * median of the positive distances."""
+    pairs = cut_lineage(pairs)  # read twice
     sigma = _scalar(pairs.where("d > 0"), F.median("d") * factor, "sigma")
     return pairs.crossJoin(sigma).withColumn("w", F.exp(-F.col("d") * F.col("d") / (2 * F.col("sigma") * F.col("sigma")))).drop("sigma")
 
@@ -43,18 +46,21 @@ def top_similar(pairs: DataFrame, weight: str, k: int) -> DataFrame:
 
 def within_mean(pairs: DataFrame, share: float = 0.7) -> DataFrame:
     """Edges of at most share times the mean positive distance."""
+    pairs = cut_lineage(pairs)
     mean = _scalar(pairs.where("d > 0"), F.avg("d"), "mean")
     return pairs.crossJoin(mean).where(F.col("d") <= share * F.col("mean")).drop("mean")
 
 
 def above_percentile(pairs: DataFrame, q: float = 0.75) -> DataFrame:
     """Edges of at least the q-th percentile (linear interpolation)."""
+    pairs = cut_lineage(pairs)
     cut = _scalar(pairs, F.expr(f"percentile(d, {q})"), "cut")
     return pairs.crossJoin(cut).where("d >= cut").drop("cut")
 
 
 def below_percentile(pairs: DataFrame, q: float = 0.2) -> DataFrame:
     """Edges with 0 < d < the q-th percentile."""
+    pairs = cut_lineage(pairs)
     cut = _scalar(pairs, F.expr(f"percentile(d, {q})"), "cut")
     return pairs.crossJoin(cut).where("d > 0 AND d < cut").drop("cut")
 
@@ -67,6 +73,23 @@ def drawing_weights(edges: DataFrame) -> DataFrame:
     return scaled.withColumns({"width": 0.5 + 2.5 * (1 - F.col("norm")), "alpha": 0.1 + 0.7 * (1 - F.col("norm")), "length": 1 + F.col("norm")})
 
 
+def classical_layout(pairs: DataFrame, dimensions: int = 2, most: int = 5000) -> DataFrame:
+    """(id, v): coordinates whose distances are nearest to d in squares (classical scaling), from a table of all pairs; more than `most` nodes raise."""
+    ids = sorted(r[0] for r in pairs.select("i").union(pairs.select("j")).distinct().limit(most + 1).collect())
+    if len(ids) > most:
+        raise ValueError(f"more than {most} nodes: their distance matrix is too large for one machine")
+    id_type = pairs.schema["i"].dataType.simpleString()
+    at = {x: i for i, x in enumerate(ids)}
+    d = np.zeros((len(ids), len(ids)))
+    for part in pairs.select("i", "j", "d").toPandas().itertuples(index=False):
+        d[at[part.i], at[part.j]] = d[at[part.j], at[part.i]] = part.d
+    centre = np.eye(len(ids)) - (1 / len(ids) if ids else 0)
+    values, columns = np.linalg.eigh(-0.5 * centre @ (d * d) @ centre)
+    order = np.argsort(values)[::-1][:dimensions]
+    x = columns[:, order] * np.sqrt(np.maximum(values[order], 0))
+    return pairs.sparkSession.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], f"id {id_type}, v array<double>")
+
+
 def degrees(edges: DataFrame, weight: str = "w") -> DataFrame:
     """(id, degree) of an undirected edge table (i, j, weight)."""
     ends = edges.select(F.explode(F.array("i", "j")).alias("id"), F.col(weight).alias("_w"))

@@ -78,6 +78,22 @@ def similarities(sig: DataFrame, key: str, k: int) -> DataFrame:
     return x.join(y, ["slot", "value"]).where("i < j").groupBy("i", "j").agg((F.count("*") / k).alias("similarity"))
 
 
+def similar(sig: DataFrame, key: str, k: int, least: float, band_rows: int = 2) -> DataFrame:
+    """(i, j, similarity) of at least `least`, found by bands of band_rows equal slots and verified on all slots.
+
+    A pair of similarity s escapes all bands with probability about
+    (1 - s ** band_rows) ** (k / band_rows): 6e-7 at 0.5 for 100 slots.
+    """
+    rows = sig.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "value"))), lambda x: x["value"]).alias("values"))
+    starts = F.sequence(F.lit(0), F.lit(k - band_rows), F.lit(band_rows))
+    band = F.explode(F.transform(starts, lambda at: F.xxhash64(at, F.slice("values", at + 1, band_rows)))).alias("band")
+    keyed = rows.select(key, band)
+    met = keyed.select(F.col(key).alias("i"), "band").join(keyed.select(F.col(key).alias("j"), "band"), "band").where("i < j").select("i", "j").distinct()
+    own = lambda name: rows.select(F.col(key).alias(name), F.col("values").alias(f"values_{name}"))
+    equal = F.aggregate(F.zip_with("values_i", "values_j", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return met.join(own("i"), "i").join(own("j"), "j").select("i", "j", (equal / k).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def sequence_shingles(df: DataFrame, key: str, tokens: Column, q: int, base: int = 131) -> DataFrame:
     """(key, item): encoded shingles of a token list."""
     return df.select(key, F.explode(shingles(tokens, q)).alias("_s")).select(key, encoded(F.col("_s"), base).alias("item"))

@@ -102,3 +102,12 @@ def source_term_lists(spark: SparkSession, d: str) -> DataFrame:
     table(spark, d, "nation").agg(*lists).coalesce(1).write.json(path)
     terms, _ = S.term_lists(spark, path)
     return terms.select("cluster", "term")
+
+
+@query("title_search")
+def title_search(spark: SparkSession, d: str) -> DataFrame:
+    """Searches by title: of the ten names that came back the closest, flattened. The ratio has no SQL."""
+    p = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit("_v1")).alias("title"), "p_brand", (F.col("p_partkey") % 10).alias("at"), "p_name", "p_type")
+    others = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct((F.col("p_partkey") * 100 + i).alias("id"), F.when(i == F.col("at"), F.col("p_name")).otherwise(F.concat("p_type", i.cast("string"))).alias("name")))
+    found = S.closest_response(p.withColumn("body", F.to_json(others)), "p_partkey", "title", "body")
+    return S.flattened_response(found.select("body"), "body").select("id", "name", "rating")

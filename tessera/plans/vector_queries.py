@@ -152,6 +152,47 @@ def minhash_sim(spark: SparkSession, d: str) -> DataFrame:
     return M.similarities(minhash_sig(spark, d), "user_id", _K).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("minhash_near", _MINHASH + f" SELECT * FROM (SELECT x.user_id AS i, y.user_id AS j, round(count(*) / {_K}, 6) AS similarity FROM g x JOIN g y ON x.slot = y.slot AND x.value = y.value AND x.user_id < y.user_id GROUP BY ALL) WHERE similarity >= 0.5")
+def minhash_near(spark: SparkSession, d: str) -> DataFrame:
+    """Alike pairs by bands, verified on all slots."""
+    return M.similar(minhash_sig(spark, d), "user_id", _K, 0.5).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "minhash_variants",
+    _SEQ
+    + f""", t AS (SELECT user_id, list(token ORDER BY pos) AS x FROM q GROUP BY user_id), d AS (SELECT user_id, x, list_transform(range(1, len(x)), lambda i: x[i + 1] - x[i]) AS y FROM t),
+    v AS (SELECT user_id, 'sequence' AS variant, 131 AS base, x AS z FROM d UNION ALL SELECT user_id, 'interval', 257, list_transform(y, lambda s: s + 128) FROM d
+          UNION ALL SELECT user_id, 'interval class', 131, list_transform(y, lambda s: (s % 12 + 12) % 12) FROM d),
+    i AS (SELECT DISTINCT user_id, variant, n, unnest(list_transform(range(1, len(z) - n + 2), lambda k: list_reduce(list_prepend(0::HUGEINT, z[k:k + n - 1]), lambda h, w: h * base + w))) AS item FROM v, (VALUES (3), (4), (5)) u(n)),
+    c(slot, a, b) AS (VALUES {_COEFFICIENTS}),
+    g AS (SELECT variant, n, user_id, slot, min(((a * item + b) % 18446744073709551616::HUGEINT) % 4294967295) AS value FROM i, c GROUP BY ALL)
+    SELECT x.variant, CAST(x.n AS INTEGER) AS q, round(2 * count(*) / {_K}, 6) AS total FROM g x JOIN g y ON x.variant = y.variant AND x.n = y.n AND x.slot = y.slot AND x.value = y.value AND x.user_id < y.user_id GROUP BY ALL""",
+)
+def minhash_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Summed similarities of sequences, of their intervals and of the intervals' classes, by shingle length."""
+    lists = cut_lineage(_event_lists(spark, d))
+    steps = Q.intervals(F.col("tokens"))
+    kinds = {"sequence": (F.col("tokens"), 131), "interval": (M.shifted_intervals(steps), 257), "interval class": (Q.pitch_classes(steps), 131)}
+    items = None
+    for variant, (values, base) in kinds.items():
+        for n in (3, 4, 5):
+            own = M.sequence_shingles(lists, "user_id", values, n, base=base).select(F.struct(F.lit(variant).alias("variant"), F.lit(n).alias("q"), "user_id").alias("key"), "item")
+            items = own if items is None else items.unionByName(own)
+    items = items.select(F.concat_ws("|", "key.variant", "key.q", "key.user_id").alias("key"), "item")
+    sig = M.signatures(items, "key", "item", _K).select(F.substring_index("key", "|", 2).alias("group"), F.substring_index("key", "|", -1).cast("bigint").alias("user_id"), "slot", "value")
+    x, y = (sig.select("group", "slot", "value", F.col("user_id").alias(name)) for name in ("i", "j"))
+    met = x.join(y, ["group", "slot", "value"]).where("i < j").groupBy("group").agg(F.round(2 * F.count("*") / _K, 6).alias("total"))
+    return met.select(F.substring_index("group", "|", 1).alias("variant"), F.substring_index("group", "|", -1).cast("int").alias("q"), "total")
+
+
+@query("graph_layout")
+def graph_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the nodes in a drawing, by classical scaling of their distances; of each axis the sign is free, so squares are shown."""
+    x = G.classical_layout(P.pairs(_embeddings(spark, d), "vec_id", "v", "euclidean"))
+    return x.select("id", *(F.round(F.col("v")[k] * F.col("v")[k], 6).alias(f"square_{k + 1}") for k in range(2)))
+
+
 @query("minhash_total", _MINHASH + f" SELECT round(2 * count(*) / {_K}, 6) AS total FROM g x JOIN g y ON x.slot = y.slot AND x.value = y.value AND x.user_id < y.user_id")
 def minhash_total(spark: SparkSession, d: str) -> DataFrame:
     """Sum of the similarity matrix without its diagonal."""

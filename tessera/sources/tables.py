@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import fix_json_list, metadata_text, path_stem, strip_outer_quotes
+from tessera.functions.text import fix_json_list, metadata_text, path_stem, sequence_ratio, strip_outer_quotes
+from tessera.operators.relational import keep_first
 
 #: Metadata of pieces as written by the CSV sink.
 METADATA_SCHEMA = "id string, name string, rating string, themes string, keywords string, involved_companies string, first_release_year string"
@@ -103,6 +104,19 @@ def term_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return terms, files.where("m IS NULL").select("path", F.lit("no object of lists").alias("error"))
 
 
+def closest_response(df: DataFrame, key: str, title: str, column: str) -> DataFrame:
+    """(key, body, ratio): of a search's results (a JSON array of responses as text) the one whose name is most like the title, the first of equals.
+
+    A result without a name counts as named ''; a title none of whose results
+    shares a character with it, or that has none, has no row.
+    """
+    results = F.posexplode(F.coalesce(F.from_json(column, "array<variant>"), F.array().cast("array<variant>"))).alias("pos", "result")
+    rows = df.select(key, F.lower(F.regexp_replace(title, "_", " ")).alias("_title"), results)
+    name = F.lower(F.coalesce(F.try_variant_get("result", "$.name", "string"), F.lit("")))
+    scored = rows.withColumns({"ratio": sequence_ratio("_title", name), "body": F.to_json("result")}).where("ratio > 0")
+    return keep_first(scored.select(key, "pos", "body", "ratio"), [key], [F.col("ratio").desc(), F.col("pos")]).drop("pos")
+
+
 def flattened_response(df: DataFrame, column: str) -> DataFrame:
     """One metadata row out of a REST response: names of nested objects, distinct, in order; rating to one decimal, 0 without."""
     schema = "struct<id:long,name:string,rating:double,themes:array<struct<name:string>>,keywords:array<struct<name:string>>,involved_companies:array<struct<company:struct<name:string>>>,release_dates:array<struct<date:long>>>"

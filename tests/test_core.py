@@ -571,3 +571,38 @@ def test_quoted_cells_stay_whole(spark, tmp_path):
     (tmp_path / "x.csv").write_text('id,title\n1,"""a, b"""\n2,"c, d"\n3,"e ""f"" g"\n')
     got = {r.id: r.title for r in tables.unquoted_csv(spark, str(tmp_path / "x.csv")).collect()}
     assert got == {"1": "a, b", "2": "c, d", "3": 'e "f" g'}
+
+
+def test_similar_by_bands(spark):
+    rng = np.random.default_rng(6)
+    sets = [set(rng.choice(60, size=rng.integers(5, 50), replace=False).tolist()) for _ in range(30)]
+    items = spark.createDataFrame([(i, int(x)) for i, s in enumerate(sets) for x in s], "key long, item long")
+    sig = M.signatures(items, "key", "item", 100)
+    every = {(r.i, r.j): r.similarity for r in M.similarities(sig, "key", 100).collect() if r.similarity >= 0.5}
+    assert {(r.i, r.j): r.similarity for r in M.similar(sig, "key", 100, 0.5).collect()} == every and every
+
+
+def test_classical_layout_keeps_plane_distances(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(15, 2))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    got = {r.id: np.array(r.v) for r in G.classical_layout(P.pairs(df, "id", "v", "euclidean")).collect()}
+    for i in range(15):
+        for j in range(15):
+            assert abs(np.linalg.norm(got[i] - got[j]) - np.linalg.norm(x[i] - x[j])) < 1e-6
+    assert G.classical_layout(P.pairs(df.limit(0), "id", "v", "euclidean")).count() == 0
+    with pytest.raises(ValueError):
+        G.classical_layout(P.pairs(df, "id", "v", "euclidean"), most=3)
+
+
+def test_title_search(spark):
+    import difflib
+
+    names = ["Super Plumber", "Super Plumber 2", "Plumber's Quest", "Zelot"]
+    body = json.dumps([{"id": i, "name": n, "rating": 70 + i} for i, n in enumerate(names)] + [{"id": 9}])
+    rows = [(1, "super_plumber_2", body), (2, "ZELOT", body), (3, "x", None), (4, "qqq", "[]"), (5, "plumber", "no json")]
+    got = {r.k: (json.loads(r.body)["id"], r.ratio) for r in tables.closest_response(spark.createDataFrame(rows, "k long, title string, body string"), "k", "title", "body").collect()}
+    assert got == {1: (1, 1.0), 2: (3, 1.0)}
+    best = max(names, key=lambda n: difflib.SequenceMatcher(None, "plumber quest", n.lower()).ratio())
+    one = tables.closest_response(spark.createDataFrame([(1, "Plumber_Quest", body)], "k long, title string, body string"), "k", "title", "body").first()
+    assert json.loads(one.body)["name"] == best
