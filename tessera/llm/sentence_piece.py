@@ -41,6 +41,8 @@ from tessera.llm.common import arrow_map
 MARK = "▁"
 #: Units whose ids a task keeps, and so the bound of its cache.
 CACHE_UNITS = 150_000
+#: New units in one call of the tokenizer.
+UNIT_BATCH = 4096
 #: Texts that each task compares with the sentencepiece library.
 VERIFIED = 4
 PROBES = ("Hello  world", " a\n b\t", "café 漢字 \U0001f600", "x" * 40, "1234.5%", " " * 21 + "y", "", "▁▁q")
@@ -181,6 +183,7 @@ class Codec:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # tasks run beside each other, and each thread has a heap of its own
         with open(path, "rb") as f:
             self.model = parse(f.read())
         self.path = path
@@ -240,7 +243,10 @@ class Codec:
     def _learn(self) -> None:
         new, self._seen.new = self._seen.new, []
         start = len(self._seen) - len(new)
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        # an encoding holds much besides its ids, so only some are held at a time
+        encoded: list[list[int]] = []
+        for at in range(0, len(new), UNIT_BATCH):
+            encoded += [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + UNIT_BATCH], add_special_tokens=False)]
         for k, unit in enumerate(new):
             if unit in self._frozen:
                 encoded[k] = [self._frozen[unit]]
