@@ -820,3 +820,23 @@ def test_pipeline_stages(spark, tmp_path, corpus):
     assert abs(mixed - 1.5 * sum(len(words(t)) for t in texts[3].values())) < 20
     assert seen[5].count() == seen[4].count() and seen[5].where("NOT round_trip").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[5].count()
+
+
+@needs_model
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
+    """No rows; then null ids, texts and sources, repeated rows and columns of clashing names."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rng = random.Random(4)
+    own = [sentence(rng, 40) for _ in range(3)]
+    odd = [(None, own[0], None, None, 1), (None, own[0], None, None, 1), (1, own[1], "en", "a", 1), (1, own[1], "en", "a", 1), (2, None, "en", "a", None), (3, "", "en", None, 0), (4, own[2], "en", "b", 1)]
+    for name, rows in (("none", []), ("odd", odd)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, DOCS).withColumns({"t": F.lit(1), "rank": F.lit(2), "h": F.lit(3)}).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        if name == "none":
+            assert got == []
+        else:  # each text once or twice, by its source's target; nothing without words
+            assert {r.doc_id for r in got} == {None, 1, 4} and all(r.round_trip and r.n_ids > 0 and r.rank == 2 for r in got)
