@@ -143,8 +143,11 @@ _MINHASH = (
 
 @query("minhash_sig", _MINHASH + " SELECT user_id, slot, value FROM g")
 def minhash_sig(spark: SparkSession, d: str) -> DataFrame:
-    lists = _event_lists(spark, d)
-    return M.with_empty(M.signatures(M.sequence_shingles(lists, "user_id", F.col("tokens"), 3), "user_id", "item", _K), lists, "user_id", _K)
+    return M.slots(_signatures(spark, d), "user_id")
+
+
+def _signatures(spark: SparkSession, d: str) -> DataFrame:
+    return M.list_signatures(_event_lists(spark, d), "user_id", M.shingle_items(F.col("tokens"), 3), _K, empty=True)
 
 
 @query("minhash_sim", _MINHASH + f" SELECT x.user_id AS i, y.user_id AS j, round(count(*) / {_K}, 6) AS similarity FROM g x JOIN g y ON x.slot = y.slot AND x.value = y.value AND x.user_id < y.user_id GROUP BY ALL")
@@ -154,8 +157,8 @@ def minhash_sim(spark: SparkSession, d: str) -> DataFrame:
 
 @query("minhash_near", _MINHASH + f" SELECT * FROM (SELECT x.user_id AS i, y.user_id AS j, round(count(*) / {_K}, 6) AS similarity FROM g x JOIN g y ON x.slot = y.slot AND x.value = y.value AND x.user_id < y.user_id GROUP BY ALL) WHERE similarity >= 0.5")
 def minhash_near(spark: SparkSession, d: str) -> DataFrame:
-    """Alike pairs by bands, verified on all slots."""
-    return M.similar(minhash_sig(spark, d), "user_id", _K, 0.5).withColumn("similarity", F.round("similarity", 6))
+    """Alike pairs by bands or, where too many meet there, by blocks; verified on all slots."""
+    return M.similar_lists(_signatures(spark, d), "user_id", _K, 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
