@@ -199,7 +199,7 @@ def graph_layout(spark: SparkSession, d: str) -> DataFrame:
 @query("minhash_total", _MINHASH + f" SELECT round(2 * count(*) / {_K}, 6) AS total FROM g x JOIN g y ON x.slot = y.slot AND x.value = y.value AND x.user_id < y.user_id")
 def minhash_total(spark: SparkSession, d: str) -> DataFrame:
     """Sum of the similarity matrix without its diagonal."""
-    return minhash_sim(spark, d).agg(F.round(2 * F.sum("similarity"), 6).alias("total"))
+    return M.totals(_signatures(spark, d), "user_id", _K).agg(F.round(F.coalesce(F.sum("total"), F.lit(0.0)), 6).alias("total"))
 
 
 @query(
