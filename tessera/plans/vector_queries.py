@@ -177,16 +177,14 @@ def minhash_variants(spark: SparkSession, d: str) -> DataFrame:
     lists = cut_lineage(_event_lists(spark, d))
     steps = Q.intervals(F.col("tokens"))
     kinds = {"sequence": (F.col("tokens"), 131), "interval": (M.shifted_intervals(steps), 257), "interval class": (Q.pitch_classes(steps), 131)}
-    items = None
-    for variant, (values, base) in kinds.items():
-        for n in (3, 4, 5):
-            own = M.sequence_shingles(lists, "user_id", values, n, base=base).select(F.struct(F.lit(variant).alias("variant"), F.lit(n).alias("q"), "user_id").alias("key"), "item")
-            items = own if items is None else items.unionByName(own)
-    items = items.select(F.concat_ws("|", "key.variant", "key.q", "key.user_id").alias("key"), "item")
-    sig = M.signatures(items, "key", "item", _K).select(F.substring_index("key", "|", 2).alias("group"), F.substring_index("key", "|", -1).cast("bigint").alias("user_id"), "slot", "value")
-    x, y = (sig.select("group", "slot", "value", F.col("user_id").alias(name)) for name in ("i", "j"))
-    met = x.join(y, ["group", "slot", "value"]).where("i < j").groupBy("group").agg(F.round(2 * F.count("*") / _K, 6).alias("total"))
-    return met.select(F.substring_index("group", "|", 1).alias("variant"), F.substring_index("group", "|", -1).cast("int").alias("q"), "total")
+    own = [
+        F.struct(F.lit(variant).alias("variant"), F.lit(n).alias("q"), M.shingle_items(values, n, base).alias("items"))
+        for variant, (values, base) in kinds.items()
+        for n in (3, 4, 5)
+    ]
+    each = lists.select("user_id", F.explode(F.array(*own)).alias("x"))
+    sig = M.list_signatures(each, F.struct("x.variant", "x.q", "user_id"), F.col("x.items"), _K).select("key.*", "values")
+    return M.totals(sig, "user_id", _K, ("variant", "q")).withColumn("total", F.round("total", 6))
 
 
 @query("graph_layout")
