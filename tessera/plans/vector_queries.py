@@ -152,7 +152,7 @@ def _signatures(spark: SparkSession, d: str) -> DataFrame:
 
 @query("minhash_sim", _MINHASH + f" SELECT x.user_id AS i, y.user_id AS j, round(count(*) / {_K}, 6) AS similarity FROM g x JOIN g y ON x.slot = y.slot AND x.value = y.value AND x.user_id < y.user_id GROUP BY ALL")
 def minhash_sim(spark: SparkSession, d: str) -> DataFrame:
-    return M.similarities(minhash_sig(spark, d), "user_id", _K).withColumn("similarity", F.round("similarity", 6))
+    return M.list_similarities(_signatures(spark, d), "user_id", _K, 1 / _K).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("minhash_near", _MINHASH + f" SELECT * FROM (SELECT x.user_id AS i, y.user_id AS j, round(count(*) / {_K}, 6) AS similarity FROM g x JOIN g y ON x.slot = y.slot AND x.value = y.value AND x.user_id < y.user_id GROUP BY ALL) WHERE similarity >= 0.5")
