@@ -308,7 +308,7 @@ def top_similar(spark: SparkSession, d: str) -> DataFrame:
 
 @query("edges_within_mean", _PAIRS.replace(", p AS (", ", p AS MATERIALIZED (") + ", m AS MATERIALIZED (SELECT 0.7 * avg(d) AS most FROM p WHERE d > 0) SELECT i, j, round(d, 6) AS d FROM p, m WHERE d <= most")
 def edges_within_mean(spark: SparkSession, d: str) -> DataFrame:
-    return G.within_mean(P.pairs(_embeddings(spark, d), "vec_id", "v", "euclidean")).withColumn("d", F.round("d", 6))
+    return G.edges_within_mean(_embeddings(spark, d), "vec_id", "v").withColumn("d", F.round("d", 6))
 
 
 @query("edges_above_percentile", _PAIRS + " SELECT i, j, round(d, 6) AS d FROM p WHERE d >= (SELECT quantile_cont(d, 0.75) FROM p)")
