@@ -67,7 +67,7 @@ def unequal_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"cosine": cosine_distance, "euclidean": euclidean_distance, "frobenius": euclidean_distance, "kl": kl_divergence, "slots": unequal_slots}
 
 
-def _usable(vector: Column) -> Column:
+def usable(vector: Column) -> Column:
     fine = F.forall(vector.cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce(fine & (F.size(vector) > 0), F.lit(False))
 
@@ -86,7 +86,7 @@ class Side:
 
 def _dealt(df: DataFrame, key: str, vector: Column, keep: list[str], chunk: int | None, kind: str = "double") -> DataFrame:
     ship(df.sparkSession)
-    df = df.where(_usable(vector) & F.col(key).isNotNull())
+    df = df.where(usable(vector) & F.col(key).isNotNull())
     rows = df.select(F.col(key).alias("id"), vector.cast(f"array<{kind}>").alias("v"), *keep)
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     if chunk is None:
@@ -178,9 +178,9 @@ def both_directions(pairs_: DataFrame) -> DataFrame:
     return pairs_.unionByName(pairs_.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
 
 
-def nearest(df: DataFrame, key: str, vector: str | Column, metric: str, k: int, chunk: int | None = None) -> DataFrame:
-    """(src, dst, d, rank): each row's k nearest others; ties by id. Groups pass on k candidates a row."""
-    distance = METRICS[metric]
+def nearest(df: DataFrame, key: str, vector: str | Column, metric: str | Callable, k: int, chunk: int | None = None) -> DataFrame:
+    """(src, dst, d, rank): each row's k nearest others; ties by id. The metric is a name or a function of two blocks of vectors. Groups pass on k candidates a row."""
+    distance = METRICS[metric] if isinstance(metric, str) else metric
     text, schema = _schema(df, key, src="id", dst="id", d="double")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -190,7 +190,7 @@ def minhash_variants(spark: SparkSession, d: str) -> DataFrame:
 @query("graph_layout")
 def graph_layout(spark: SparkSession, d: str) -> DataFrame:
     """Places of the nodes in a drawing, by classical scaling of their distances; of each axis the sign is free, so squares are shown."""
-    x = G.classical_layout(P.pairs(_embeddings(spark, d), "vec_id", "v", "euclidean"))
+    x = G.vector_layout(_embeddings(spark, d), "vec_id", "v")
     return x.select("id", *(F.round(F.col("v")[k] * F.col("v")[k], 6).alias(f"square_{k + 1}") for k in range(2)))
 
 
@@ -528,8 +528,7 @@ def hierarchical_tuning(spark: SparkSession, d: str) -> DataFrame:
 @query("similarity_neighbours")
 def similarity_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The neighbour graph of Gaussian similarity rows."""
-    weights = G.gaussian(P.pairs(_embeddings(spark, d), "vec_id", "v", "euclidean"))
-    return G.similarity_neighbours(cut_lineage(weights), "w", 10)
+    return G.gaussian_neighbours(_embeddings(spark, d), "vec_id", "v", 10)
 
 
 @query("graph_scores")
