@@ -8,14 +8,16 @@ document lacks counts as 0 in every mean.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_text
-from tessera.operators.relational import top_per_group
-from tessera.session import cut_lineage
+from tessera.operators.relational import checked_broadcast, top_per_group
+from tessera.session import cut_lineage, ship
 
 #: Own list of common words; both queries and their oracles use it.
 STOP_WORDS = (
@@ -70,24 +72,67 @@ def weights(counts: DataFrame, id_col: str, sizes: DataFrame, scope: Sequence[st
     return raw.withColumn("weight", F.col("raw") / norm)
 
 
+def hashed_counts(docs: DataFrame, id_col: str, text: Column, ngram: tuple[int, int], cluster: str, stop_words: Sequence[str]) -> DataFrame:
+    """(id, k, terms, tfs): one row for each id and cluster, with 64-bit hashes of its terms and their counts. Nothing but texts is shuffled."""
+    ship(docs.sparkSession)
+    dealt = docs.select(F.col(id_col).alias("id"), F.col(cluster).alias("k"), text.alias("text")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    words = dealt.select("id", "k", tokens(F.col("text"), stop_words).alias("words"))
+    rows = words.select("id", "k", F.explode_outer(F.array(ngrams(F.col("words"), *ngram))).alias("grams")).select("id", "k", F.transform("grams", lambda g: F.xxhash64(g)).alias("terms")).groupBy("id", "k").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, row))
+            flat, row = flat[order], row[order]
+            new = np.ones(len(flat), bool)
+            new[1:] = (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
+            first = np.flatnonzero(new)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(sizes)))]).astype(np.int32)
+            tfs = np.diff(np.append(first, len(flat))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, flat[first]), pa.ListArray.from_arrays(ends, tfs)], ["id", "k", "terms", "tfs"])
+
+    id_type, k_type = (rows.schema[c].dataType.simpleString() for c in ("id", "k"))
+    return rows.mapInArrow(count, f"id {id_type}, k {k_type}, terms array<bigint>, tfs array<int>")
+
+
+def _scored(counts: DataFrame, n_docs: int, sizes: DataFrame, min_df: int, max_df: float, scoring: str) -> DataFrame:
+    """(k, h, score) of hashed counts. A term's idf is the same in all documents, so a cluster's sum of weights is idf times its sum of tf / norm."""
+    most = max(float(max_df), min_df / max(n_docs, 1)) if max_df < 1 else 1.0
+    kept = (F.col("df") >= min_df) & (F.col("df") <= F.lit(most) * n_docs)
+    idf = F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1
+    each = counts.select("id", "k", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("id", "k", F.col("x.terms").alias("h"), F.col("x.tfs").alias("tf"))
+    known = each.groupBy("h").agg(F.count("*").alias("df")).where(kept).select("h", idf.alias("idf"))
+    norms = cut_lineage(each.join(known, "h").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0)))).alias("norm")))
+    norms = checked_broadcast(norms.withColumnRenamed("id", "_id"), 2_000_000)
+    share = counts.join(norms, F.col("id").eqNullSafe(F.col("_id"))).select("k", "norm", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+    own = share.groupBy("k", F.col("x.terms").alias("h")).agg(F.sum(F.col("x.tfs") / F.col("norm")).alias("own"), F.count("*").alias("n"))
+    every = Window.partitionBy("h")
+    means = own.withColumns({"df": F.sum("n").over(every), "whole": F.sum("own").over(every)}).where(kept).join(F.broadcast(sizes), "k")
+    score = idf * (F.col("own") / F.col("cluster_size") - (F.col("whole") / F.lit(n_docs) if scoring == "distinctiveness" else F.lit(0.0)))
+    return means.select("k", "h", F.round(score, 6).alias("score"))
+
+
 def distinctive_terms(docs: DataFrame, id_col: str, text_col: str, cluster: str, k: int = 20, ngram: tuple[int, int] = (1, 2), min_df: int = 1, max_df: float = 0.8, scoring: str = "distinctiveness") -> DataFrame:
     """(cluster, rank, term, score): cluster mean minus global mean of the weights, or the cluster mean alone.
 
-    Where stop words and bounds leave no term at all, the fit is made without them.
+    Terms are counted, weighted and ranked as 64-bit hashes; the texts of those
+    that reach a rank up to k, ties included, are looked up at the end. Where
+    stop words and bounds leave no term at all, the fit is made without them.
     """
-    n_docs = docs.agg(F.count("*").alias("n_docs"))
-    counts = cut_lineage(term_counts(docs, id_col, F.col(text_col), ngram, keep=[cluster]))
-    weighted = weights(counts, id_col, n_docs, min_df=min_df, max_df=max_df)
-    sizes = docs.groupBy(cluster).agg(F.count("*").alias("cluster_size"))
-    own = cut_lineage(weighted.groupBy(cluster, "term").agg(F.sum("weight").alias("own")))
-    if own.isEmpty():  # no term is left: fit once more on every word, without bounds
-        counts = cut_lineage(term_counts(docs, id_col, F.col(text_col), ngram, keep=[cluster], stop_words=()))
-        own = cut_lineage(weights(counts, id_col, n_docs).groupBy(cluster, "term").agg(F.sum("weight").alias("own")))
-    whole = own.groupBy("term").agg(F.sum("own").alias("whole"))
-    means = own.join(F.broadcast(sizes), cluster).join(whole, "term").crossJoin(F.broadcast(n_docs))
-    score = F.col("own") / F.col("cluster_size") - (F.col("whole") / F.col("n_docs") if scoring == "distinctiveness" else F.lit(0.0))
-    scored = means.select(cluster, "term", F.round(score, 6).alias("score"))
-    return top_per_group(scored, [cluster], [F.col("score").desc(), F.col("term")], k)
+    n_docs, sizes = docs.count(), docs.groupBy(F.col(cluster).alias("k")).agg(F.count("*").alias("cluster_size"))
+    rank = F.rank().over(Window.partitionBy("k").orderBy(F.col("score").desc()))
+    for words, least, most in ((STOP_WORDS, min_df, max_df), ((), 1, 1.0)):
+        counts = cut_lineage(hashed_counts(docs, id_col, F.col(text_col), ngram, cluster, words))
+        best = cut_lineage(_scored(counts, n_docs, sizes, least, most, scoring).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"))
+        if not best.isEmpty():
+            break
+    grams = docs.select(tokens(F.col(text_col), words).alias("words")).select(F.explode(ngrams(F.col("words"), *ngram)).alias("term"))
+    wanted = checked_broadcast(best.select("h").distinct())
+    texts = grams.withColumn("h", F.xxhash64("term")).join(wanted, "h", "left_semi").distinct()
+    named = best.join(texts, "h").select(F.col("k").alias(cluster), "term", "score")
+    return top_per_group(named, [cluster], [F.col("score").desc(), F.col("term")], k)
 
 
 def terms_per_column(docs: DataFrame, id_col: str, columns: Sequence[str], cluster: str, k: int = 15, ngram: tuple[int, int] = (1, 2), min_df: int = 1, max_df: float = 1.0) -> DataFrame:
