@@ -52,13 +52,18 @@ def tune(df: DataFrame, key: str, vector: str, ks: Iterable[int] = (2, 3, 4, 5,
 def graph_sweep(df: DataFrame, key: str, vector: str, ks: Iterable[int], neighbours: int = 15, metric: str = "kl") -> DataFrame:
     """(k, silhouette, davies_bouldin, modularity, dispersion) of spectral clusterings of one neighbour graph."""
     edges = cut_lineage(G.local_scaled(nearest(df, key, vector, metric, neighbours)))
-    rows, ks = [], tuple(ks)
+    found, labels, ks = [], None, tuple(ks)
     for k, x in zip(ks, C.Spectral(max(ks), neighbours, metric).embeddings(df, key, vector, ks), strict=True):
         x = cut_lineage(x)
         labelled = cut_lineage(x.join(C.run_clustering("kmeans", x, key, "v", k=k), key))
-        q = G.modularity(edges, labelled.select(F.col(key).alias("id"), "label")).first()[0]
-        scores = V.scores(labelled, key, "v", "label").first()
-        rows.append((k, scores.silhouette, scores.davies_bouldin, q, scores.dispersion))
+        # few shuffles a k: each leaves the driver a thread for a minute
+        davies, _, dispersion = V.spread_scores(labelled, "v", "label")
+        found.append((k, V.silhouette(labelled, key, "v", "label").first()[0], davies, dispersion))
+        own = labelled.select(F.col(key).alias("id"), F.lit(len(found)).alias("at"), "label")
+        labels = own if labels is None else labels.unionByName(own)
+    every = labels.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("labels"))
+    q = {r.pos: r.modularity for r in G.modularities(edges, every).collect()}
+    rows = [(k, s, davies, q.get(at) or 0.0, dispersion) for at, (k, s, davies, dispersion) in enumerate(found)]
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, davies_bouldin double, modularity double, dispersion double")
 
 
